@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with QUERIES and ORACLES.
-MODULES = ("copies_queries", "overlap_queries")
+MODULES = ("copies_queries", "overlap_queries", "splitting_queries")
 
 
 def queries() -> dict:

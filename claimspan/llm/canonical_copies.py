@@ -15,7 +15,6 @@ import unicodedata
 from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -32,29 +31,45 @@ TUPLE_BYTES = 32
 REMEMBERED, SHORT = 100_000, 64
 
 
-def _character_class(categories: str) -> str:
-    """The inside of a regex class with all characters whose Unicode category starts with one of the letters."""
-    codes = np.array([unicodedata.category(chr(c))[0] in categories for c in range(sys.maxunicode + 1)])
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], codes.view(np.int8), [0]))))
-    return "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2))
+#: Marks between digits are lifted here (private use) while the rest is dropped.
+_LIFT = 0xF0000
+_LETTERS = bytes(c for c in range(128) if chr(c).isalnum())
+_ASCII_DROP = bytes(c for c in range(128) if c not in _LETTERS)
+_ASCII_LIFT = bytes(c + 128 if c in _ASCII_DROP else c for c in range(256))
+_ASCII_LOWER = bytes(c - 128 if c > 127 else c for c in range(256))
+_ASCII_FIGURE = re.compile(rb"[0-9](?:[!-/:-@\[-`{-~][0-9])+")
+_FIGURE = re.compile(r"\d(?:[^\w\s]\d|_\d)+")
+_LIFTED = re.compile(f"[{chr(_LIFT)}-{chr(sys.maxunicode)}]")
 
 
-class _Canon:
-    """Compiled once a worker."""
+class _Kept(dict):
+    """For str.translate: letters, combining marks and numerals as they are, lifted marks back in place, the rest dropped."""
+
+    def __missing__(self, code: int) -> int | None:
+        if code >= _LIFT:
+            kept = code - _LIFT
+        else:
+            kept = code if unicodedata.category(chr(code))[0] in "LMN" else None
+        self[code] = kept
+        return kept
+
+
+_KEPT = _Kept()
 
-    drop: re.Pattern | None = None
 
-    @classmethod
-    def pattern(cls) -> re.Pattern:
-        if cls.drop is None:
-            marks = _character_class("PS")
-            cls.drop = re.compile(rf"(?:[^{_character_class('LMN')}{marks}]|(?<!\d)[{marks}]|[{marks}](?!\d))+")
-        return cls.drop
+def _lift(figure: re.Match) -> str:
+    return "".join(chr(_LIFT + ord(c)) if ord(c) < 0x20000 and unicodedata.category(c)[0] in "PS" else c for c in figure.group())
 
 
 def canonical_text(text: str) -> str:
     """Lower case, only letters, combining marks and numerals, and any one mark or symbol directly between two digits."""
-    return _Canon.pattern().sub("", text.lower())
+    text = text.lower()
+    if text.isascii():
+        raw = _ASCII_FIGURE.sub(lambda m: m.group().translate(_ASCII_LIFT), text.encode())
+        return raw.translate(_ASCII_LOWER, _ASCII_DROP).decode()
+    if _LIFTED.search(text):  # private-use characters of the text itself mean nothing
+        text = _LIFTED.sub(" ", text)
+    return _FIGURE.sub(_lift, text).translate(_KEPT)
 
 
 def _identifier(value: bytes) -> tuple[int, int]:
@@ -69,12 +84,11 @@ def _pack(pairs: list[tuple[int, tuple[int, int]]]) -> bytes:
 
 
 def _text_tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    drop = _Canon.pattern()
     for batch in batches:
         coded = pc.dictionary_encode(batch.column(1).cast(pa.string()))
         tuples = []
         for text in coded.dictionary.to_pylist():
-            form = drop.sub("", text.lower())
+            form = canonical_text(text)
             tuples.append(_pack([(0, _identifier(form.encode("utf-8", "surrogatepass")))]) if form else None)
         record = pa.array(tuples, pa.binary()).take(coded.indices)
         yield pa.RecordBatch.from_arrays([batch.column(0), record], schema=_ARROW).filter(record.is_valid())

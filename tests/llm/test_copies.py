@@ -28,7 +28,7 @@ def plain_json(x):
     return ("n", float(x)) if isinstance(x, int | float) else ("s", plain_canon(x))
 
 
-TEXTS = ["Hello, World!", "hello world", "HELLO  WORLD ", None, "", "...", "1,234", "1234", "1 234", "3.5%", "3..5", "3.5", "नमस्ते दुनिया", "नमस्ते,दुनिया", "नमसत दनय", "x" * 200_000, "X" * 200_000 + "!", "a_b", "ab", "½", "٣.٤", "٣٤"]
+TEXTS = ["Hello, World!", "hello world", "HELLO  WORLD ", None, "", "...", "1,234", "1234", "1 234", "3.5%", "3..5", "3.5", "नमस्ते दुनिया", "नमस्ते,दुनिया", "नमसत दनय", "x" * 200_000, "X" * 200_000 + "!", "a_b", "ab", "½", "1😂2", "12", "1\U000f0041b", "1b", "٣.٤", "٣٤"]
 BODIES = ['{"a": 1, "b": [1, 2]}', '{"b":[1.0,2e0],"a":1}', '{"b": [2, 1], "a": 1}', '{"a": 1, "b": [1, 2], "c": null}', '{"a": "1", "b": [1, 2]}', '{"a": {"x": "Hi!"}}', '{"a": {"x": "hi"}}', '{"a": {}}', '{"a": []}', '{"a": true}', '{"a": "True"}', "[1]", "{broken", None, "", '{"a": 0}', '{"a": -0.0}', '{}']
 
 

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-#: Rounds of the linear program, size of a step as a share of the scarcest length, and how strongly prices react.
-ROUNDS, STEP, REACTION = 300, 0.5, 2.0
+#: Rounds of the linear program, size of a step as a share of the scarcest length, how strongly prices react to lagging
+#: cover, and the power of the length that they start from.
+ROUNDS, STEP, REACTION, PREFER_LONG = 300, 0.5, 2.0, 1.15
 #: Items numbered in one window group, about.
 NUMBERED = 500_000
 
@@ -36,7 +37,7 @@ class Filling:
 def best_filling(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
     """Counts per length of the most valuable filling (knapsack by dynamic programming over the capacity).
 
-    Counts may exceed ``most`` in the relaxed program and are cut back to it."""
+    More than ``most`` of a length are cut back to it."""
     best = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1, np.int64)
     order = np.argsort(lengths, kind="stable")
@@ -62,7 +63,7 @@ def best_filling(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capa
 
 
 def top_up(counts: np.ndarray, lengths_down: np.ndarray, left: np.ndarray, room: int) -> int:
-    """Adds the largest items that fit, from those left. ``lengths_down`` falls; returns the room that remains."""
+    """Adds the largest items that fit, of those left. ``lengths_down`` falls; returns the room that remains."""
     at = 0
     while room > 0:
         at = max(at, int(np.searchsorted(-lengths_down, -room, "left")))
@@ -90,8 +91,10 @@ def plan_fillings(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS
         if not open_.any():
             break
         done = cover / need
-        price = lengths / capacity * np.exp(REACTION * (done[open_].mean() - done)) * open_
-        pattern = best_filling(lengths, price, np.ceil(need - cover).astype(np.int64), capacity)
+        price = (lengths / capacity) ** PREFER_LONG * np.exp(REACTION * (done[open_].mean() - done)) * open_
+        most = np.ceil(need - cover - 1e-9).astype(np.int64)
+        pattern = best_filling(lengths, price, most, capacity)
+        top_up(pattern, lengths, most, capacity - int(pattern @ lengths))
         used = pattern > 0
         if not used.any():
             break

@@ -162,7 +162,7 @@ def _json_tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tuples = []
         for body in coded.dictionary.to_pylist():
             try:
-                held = _DECODER.decode(body.lstrip("﻿"))
+                held = _DECODER.decode(body.lstrip("\ufeff"))
             except (ValueError, RecursionError):
                 held = None
             if not isinstance(held, dict):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with QUERIES and ORACLES.
-MODULES = ("copies_queries", "overlap_queries", "splitting_queries", "token_queries", "abuse_queries")
+MODULES = ("sentence_queries", "copies_queries", "overlap_queries", "splitting_queries", "token_queries", "abuse_queries")
 
 
 def queries() -> dict:

@@ -77,7 +77,7 @@ def _climb(curve: np.ndarray) -> np.ndarray:
 def _hard_cut(text: str, low: int, high: int) -> int:
     """The last place in (low, high] that parts no combining mark, joiner or variation selector from its letter."""
     for at in range(high, max(low, high - 64), -1):
-        if at == len(text) or not (unicodedata.category(text[at])[0] == "M" or text[at] == "‍" or text[at - 1] == "‍"):
+        if at == len(text) or not (unicodedata.category(text[at])[0] == "M" or "\u200d" in text[at - 1 : at + 1]):
             return at
     return high
 

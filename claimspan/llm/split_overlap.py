@@ -24,7 +24,7 @@ from ..runtime import cut
 
 #: At most one word in five may differ: shared words over the words of the longer statement.
 SHARE_NUMERATOR, SHARE_DENOMINATOR = 4, 5
-_GROUPED = re.compile(r"(?<!\d)(\d{1,3})((?:[,.'’   ]\d{3})+)(?![\d])")
+_GROUPED = re.compile("(?<!\\d)(\\d{1,3})((?:[,.'\\u2019\\u00a0\\u202f\\u2009 ]\\d{3})+)(?!\\d)")
 _TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[㐀-鿿豈-﫿]|[^\W\d_㐀-鿿豈-﫿][^\W\d_㐀-鿿豈-﫿]*")
 # Characters commonly used to write foreign names in Chinese by sound.
 NAME_CHARACTERS = frozenset(

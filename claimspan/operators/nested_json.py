@@ -68,7 +68,7 @@ class _Walk:
             self.emit(index, token, link, 0)
         elif kind == STRING:
             held = index.string(token)
-            if held.lstrip(" \t\r\n﻿")[:1] == "[":
+            if held.lstrip(" \t\r\n\ufeff")[:1] == "[":
                 self.waiting.append((link, held))
             else:
                 self.emit(index, token, link, 0)
@@ -102,7 +102,7 @@ class _Walk:
     def finish(self) -> None:
         while self.waiting:
             links, self.waiting = self.waiting, []
-            index = StructuralIndex([text.lstrip("﻿").encode("utf-8", "surrogatepass") for _, text in links])
+            index = StructuralIndex([text.lstrip("\ufeff").encode("utf-8", "surrogatepass") for _, text in links])
             for doc, (link, held) in enumerate(links):
                 if index.valid[doc] and index.kind[index.root(doc)] == OPEN_ARRAY:
                     self.elements(index, index.root(doc), link)

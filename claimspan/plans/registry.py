@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with QUERIES and ORACLES.
-MODULES = ("integrity", "nested")
+MODULES = ("integrity", "nested", "texts")
 
 
 def core_queries() -> dict:

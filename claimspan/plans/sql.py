@@ -26,7 +26,7 @@ def token_list(text: str) -> str:
 
 def sentences_plain(text: str) -> str:
     marked = rf"regexp_replace(regexp_replace(coalesce({text}, ''), '\n+', chr(1), 'g'), '([.!?])\s+', '\1' || chr(1), 'g')"
-    return f"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+    return rf"list_filter(list_transform(string_split({marked}, chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 
 
 def jaccard(a: str, b: str) -> str:

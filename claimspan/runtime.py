@@ -12,7 +12,7 @@ import tempfile
 from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is heavy when it holds more than 1/HOT_KEYS of the rows, so there are fewer than HOT_KEYS of them.
@@ -70,6 +70,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with the columns added and computed once a row. A plain projection would be merged into later ones and its
+    expressions evaluated again at every use, inside array functions once an element; a generator of one row is not."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def join_one_sided_hot(
     many: DataFrame,
     one: DataFrame,

@@ -16,18 +16,28 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
+from ..runtime import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Vectors multiplied at once on either side of the exact nearest-neighbour search.
 QUERY_BLOCK, VECTOR_BLOCK = 512, 4096
 
 
-def postings(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(token, key, tf, dl): counts map-side; documents without tokens have none."""
+def postings(corpus: DataFrame, key: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """(token, key, tf, dl) of all tokens, or of those in ``only`` (token); documents without tokens have none.
+
+    A document's tokens are counted where it is read; they are filtered before they are shuffled."""
     tokens = corpus.select(key, T.token_list(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("dl"), F.explode("tokens").alias("token"))
+    if only is not None:
+        tokens = tokens.join(only.select("token").distinct(), "token", "left_semi")
     return tokens.groupBy("token", key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def document_frequencies(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """(token, df), counted map-side without grouping by document."""
+    return corpus.select(F.explode(F.array_distinct(T.token_list(F.col(text)))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
 def query_tokens(queries: DataFrame) -> DataFrame:
     """(query_id, token, qtf)"""
     return queries.select("query_id", F.explode(T.token_list(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
@@ -44,13 +54,13 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, key: str = "doc_id", tex
 
     idf = ln((N - df + .5) / (df + .5)), negative ones replaced by EPSILON times the mean idf of all tokens; repeated query
     words count repeatedly. Statistics are over the whole corpus. Empty queries and texts match nothing."""
-    index = postings(corpus, key, text)
+    asked = cut(query_tokens(queries))
+    index = postings(corpus, key, text, asked)
     size = corpus.select(F.count("*").alias("n_docs"), F.avg(F.size(T.token_list(F.col(text)))).alias("avgdl"))
-    df = index.groupBy("token").agg(F.count("*").alias("df"))
-    raw = df.join(F.broadcast(size)).withColumn("raw_idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    raw = document_frequencies(corpus, text).join(F.broadcast(size)).withColumn("raw_idf", F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = raw.agg(F.avg("raw_idf").alias("mean_idf"))
     idf = raw.join(F.broadcast(mean)).select("token", "avgdl", F.when(F.col("raw_idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw_idf")).alias("idf"))
-    wanted = query_tokens(queries).join(idf, "token")
+    wanted = asked.join(idf, "token")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = index.join(wanted, "token").groupBy("query_id", key).agg(F.sum(part).alias("score"))
     return ranked(scored.withColumn("score", F.round("score", 4)), F.col("score"), k, key)
@@ -58,11 +68,12 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, key: str = "doc_id", tex
 
 def bm25_local(queries: DataFrame, corpus: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The fallback variant: idf = ln((dl - tf + .5) / (tf + .5) + 1) from the document alone, query words as a set."""
-    index = postings(corpus, key, text)
+    asked = cut(query_tokens(queries))
+    index = postings(corpus, key, text, asked)
     avgdl = corpus.select(F.avg(F.size(T.token_list(F.col(text)))).alias("avgdl"))
     idf = F.log((F.col("dl") - F.col("tf") + 0.5) / (F.col("tf") + 0.5) + 1.0)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = index.join(query_tokens(queries), "token").join(F.broadcast(avgdl))
+    hits = index.join(asked, "token").join(F.broadcast(avgdl))
     scored = hits.groupBy("query_id", key).agg(F.round(F.sum(part), 4).alias("score"))
     return ranked(scored, F.col("score"), k, key)
 

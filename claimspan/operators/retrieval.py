@@ -142,6 +142,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "doc_id",
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            query_kind, id_kind = (batch.schema.field(i).type.value_type.field(n).type for i, n in ((0, "query_id"), (1, "id")))
             for qs, vs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cosine = np.floor(unit(qs) @ unit(vs).T * 1e6 + 0.5) / 1e6
                 ids = np.array([v["id"] for v in vs])
@@ -149,7 +150,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "doc_id",
                 cosine, ids = cosine[:, order], ids[order]
                 best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([q["query_id"] for q in qs], best.shape[1])), pa.array(ids[best].ravel()), pa.array(np.take_along_axis(cosine, best, 1).ravel())],
+                    [pa.array(np.repeat([q["query_id"] for q in qs], best.shape[1]), query_kind), pa.array(ids[best].ravel(), id_kind), pa.array(np.take_along_axis(cosine, best, 1).ravel())],
                     names=["query_id", key, "score"],
                 )
 

@@ -91,37 +91,24 @@ def statement_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     The class id is a 128-bit hash of the sorted words and the first word. Word statistics are over all records: how
     many classes have the word (its rarity), and whether it is written as a name: never or seldom in lower case, and
     in capitals where capitals tell something."""
-    keyed = cut(rows.withColumn("class_id", F.md5(F.concat_ws("\x01", "first_word", F.array_join(F.array_sort("words"), "\x01")))))
+    words = F.array_join(F.array_sort("words"), "\x01")
+    keyed = cut(rows.withColumn("class_id", F.unhex(F.md5(F.concat_ws("\x01", "first_word", words)))))
     members = keyed.select("record_id", "split", "class_id")
-    spread = keyed.select("class_id", "split", "figures", "first_word", F.explode(F.arrays_zip("words", "written")).alias("w")).select(
-        "class_id", "split", "figures", "first_word", F.col("w.words").alias("word"), F.col("w.written").alias("written")
-    )
-    per_word = spread.groupBy("class_id", "word").agg(
-        F.bool_or(F.col("split") == "train").alias("is_train"),
-        F.bool_or(F.col("split") != "train").alias("is_eval"),
-        F.first("figures").alias("figures"),
-        F.first("first_word").alias("first_word"),
-        F.count_if(F.col("written") == 1).alias("capital"),
-        F.count_if(F.col("written") == 0).alias("lower"),
-    )
-    bare = F.split_part(F.col("word"), F.lit("\x00"), F.lit(1))
-    words = per_word.groupBy("word").agg(F.count("*").alias("df"))
-    names = per_word.groupBy(bare.alias("bare")).agg(F.sum("capital").alias("capital"), F.sum("lower").alias("lower"))
-    name_kind = F.when(F.col("capital") > 2 * F.col("lower"), 2).when((F.col("capital") == 0) & (F.col("lower") == 0), 1).otherwise(0)
-    known = words.withColumn("bare", bare).join(names.select("bare", name_kind.alias("name_kind")), "bare").drop("bare")
-    classes = (
-        per_word.drop("capital", "lower")
-        .join(known, "word")
-        .groupBy("class_id")
-        .agg(
-            F.first("is_train").alias("is_train"),
-            F.first("is_eval").alias("is_eval"),
-            F.first("figures").alias("figures"),
-            F.first("first_word").alias("first_word"),
-            F.array_sort(F.collect_list(F.struct("df", "word", "name_kind"))).alias("items"),
+    known = F.col("split") == "train"
+    single = cut(
+        keyed.groupBy("class_id").agg(
+            F.bool_or(known).alias("is_train"), F.bool_or(~known).alias("is_eval"), F.first("figures").alias("figures"), F.first("first_word").alias("first_word"), F.first("words").alias("words")
         )
-        .withColumn("n", F.size("items"))
     )
+    bare = lambda w: F.split_part(w, F.lit("\x00"), F.lit(1))
+    written = keyed.select(F.explode(F.arrays_zip("words", "written")).alias("w"))
+    names = written.groupBy(bare(F.col("w.words")).alias("bare")).agg(F.count_if(F.col("w.written") == 1).alias("capital"), F.count_if(F.col("w.written") == 0).alias("lower"))
+    name_kind = F.when(F.col("capital") > 2 * F.col("lower"), 2).when((F.col("capital") == 0) & (F.col("lower") == 0), 1).otherwise(0)
+    spread = single.select("class_id", F.explode("words").alias("word"))
+    frequent = spread.groupBy("word").agg(F.count("*").alias("df")).withColumn("bare", bare(F.col("word")))
+    looked_up = frequent.join(names.select("bare", name_kind.alias("name_kind")), "bare").drop("bare")
+    items = spread.join(looked_up, "word").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "word", "name_kind"))).alias("items"))
+    classes = items.join(single.drop("words"), "class_id").withColumn("n", F.size("items"))
     return members, classes
 
 
@@ -199,7 +186,7 @@ def matching_classes(classes: DataFrame) -> DataFrame:
         F.greatest(F.size("eval_items"), F.size("train_items")).alias("longest"),
         only("eval", "train").alias("only_eval"), only("train", "eval").alias("only_train"),
     )
-    return compared.where(F.col("shared") >= _needed(F.col("longest"))).mapInPandas(_verify, "eval_class string, train_class string, shared int, longest int")
+    return compared.where(F.col("shared") >= _needed(F.col("longest"))).mapInPandas(_verify, "eval_class binary, train_class binary, shared int, longest int")
 
 
 def cross_split_pairs(records: DataFrame) -> DataFrame:

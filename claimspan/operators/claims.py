@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vocab as V
 from ..runtime import computed
+from .retrieval import hash_vectors
 
 
 def chunk_inputs(retrieval: DataFrame, sample: str = "sample_id") -> DataFrame:
@@ -45,19 +46,26 @@ def candidate_pairs(
     least_lexical: float = 0.1,
     query_lexical: float | None = None,
     allow_empty_entities: bool = True,
+    least_embedding: float | None = None,
 ) -> DataFrame:
     """Pairs of claims of one sample: (sample, ord_a, ord_b, claim_a_id, claim_b_id, text_a, text_b, role_a, role_b,
-    entity_overlap, lexical).
-
-    ``claims`` has (sample, ord, claim_id, text, role, entities). cascade wants shared entities and lexical similarity,
-    union wants lexical similarity alone of pairs with shared entities or without embedding. Pairs without entities on
-    a side pass if allowed. Tokens are computed once a claim; the join is on the sample, whose claims come from one
-    record, so no group grows with the table. Pairs that share no word are never formed by the lexical rule, so the
-    join is filtered before anything else is computed."""
+    entity_overlap, lexical), and embedding if ``least_embedding`` is set.
+
+    ``claims`` has (sample, ord, claim_id, text, role, entities). Three stages: shared entities (pairs without entities
+    on a side pass if allowed), lexical similarity, and the cosine of the texts' hash vectors, which every pair passes
+    where no ``least_embedding`` is set. cascade wants all three, union lexical similarity and one of the other two; so
+    union always contains cascade, and without ``least_embedding`` it is the lexical stage alone. Tokens and vectors are
+    computed once a claim; the join is on the sample, whose claims come from one record, so no group grows with the
+    table. The cosine, to six places, is computed for pairs that pass the lexical stage."""
     if mode not in ("cascade", "union"):
         raise ValueError(f"unknown mode {mode!r}")
     base = computed(claims.select(sample, "ord", "claim_id", "text", "role", F.coalesce("entities", F.array().cast("array<string>")).alias("entities")), tokens=T.token_set(F.col("text")))
-    side = lambda x: base.select(sample, *(F.col(c).alias(f"{c}_{x}") for c in ("ord", "claim_id", "text", "role", "entities", "tokens")))
+    columns = ["ord", "claim_id", "text", "role", "entities", "tokens"]
+    if least_embedding is not None:
+        # The claim is the key, so that no join is needed to bring the vectors back.
+        base = hash_vectors(base.select(F.struct(sample, *columns).alias("claim"), "text"), key="claim").select("claim.*", "vector")
+        columns = [*columns, "vector"]
+    side = lambda x: base.select(sample, *(F.col(c).alias(f"{c}_{x}") for c in columns))
     pairs = side("a").join(side("b"), sample).where("ord_a < ord_b")
     scored = pairs.withColumn("lexical", T.jaccard(F.col("tokens_a"), F.col("tokens_b"))).withColumn("entity_overlap", T.size_of_common(F.col("entities_a"), F.col("entities_b")))
     crossing = F.array_sort(F.array(F.lower(F.trim("role_a")), F.lower(F.trim("role_b")))) == F.array(F.lit("query"), F.lit("retrieved_evidence"))
@@ -65,8 +73,12 @@ def candidate_pairs(
     both = (F.size("entities_a") > 0) & (F.size("entities_b") > 0)
     entity_ok = F.when(both, F.col("entity_overlap") >= least_entities).otherwise(F.lit(allow_empty_entities))
     lexical_ok = F.col("lexical") >= floor
-    kept = scored.where(lexical_ok & entity_ok if mode == "cascade" else lexical_ok & (entity_ok | (F.col("entity_overlap") > 0)))
-    return kept.select(sample, "ord_a", "ord_b", "claim_id_a", "claim_id_b", "text_a", "text_b", "role_a", "role_b", "entity_overlap", "lexical")
+    out = [sample, "ord_a", "ord_b", "claim_id_a", "claim_id_b", "text_a", "text_b", "role_a", "role_b", "entity_overlap", "lexical"]
+    near, embedding_ok = scored.where(lexical_ok), F.lit(True)
+    if least_embedding is not None:
+        dot = F.aggregate(F.zip_with("vector_a", "vector_b", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda total, x: total + x)
+        near, embedding_ok, out = computed(near, embedding=F.round(dot, 6)), F.col("embedding") >= least_embedding, [*out, "embedding"]
+    return near.where(entity_ok & embedding_ok if mode == "cascade" else entity_ok | embedding_ok).select(*out)
 
 
 def heuristic_scores(text_a: Column, text_b: Column, lexical: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimspan.operators import claims as C
 from claimspan.operators import conflict as K
 from claimspan.operators import metrics as M
+from claimspan.operators.retrieval import hash_vectors
 from claimspan.sources import readers as R
 
 CLAIM = "sample_id string, ord int, claim_id string, text string, role string, entities array<string>"
@@ -29,6 +30,30 @@ def test_blocking_modes(spark):
         C.candidate_pairs(df, mode="other")
 
 
+def test_blocking_embedding_stage(spark):
+    texts = ["Alice approved the harbour plan", "Alice did not approve the harbour plan", "Bob sold the harbour plan", "harbour plan", None, "unrelated words"]
+    entities = [["Alice"], ["Alice"], ["Bob"], [], None, ["Alice"]]
+    df = spark.createDataFrame([("s", i, "abcdef"[i], t, "body", e) for i, (t, e) in enumerate(zip(texts, entities, strict=True))], CLAIM)
+    df = df.unionByName(df)  # a repeated sample: every copy is a claim of its own
+    rows = lambda **k: {(r.claim_id_a, r.claim_id_b): r for r in C.candidate_pairs(df, **k).collect()}
+    pairs = lambda **k: set(rows(**k))
+    near = {("a", "b"), ("a", "c"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")}
+    # Without a threshold the embedding stage passes, so union is the lexical stage alone.
+    assert pairs(mode="union") == pairs(mode="union", allow_empty_entities=False) == near
+    assert pairs(mode="union", least_embedding=2.0) == pairs() and pairs(least_embedding=2.0) == set()
+    vector = {r.claim_id: r.vector for r in hash_vectors(df, key="claim_id").collect()}
+    cosine = lambda pair: round(sum(x * y for x, y in zip(*(vector[i] for i in pair), strict=True)), 4)
+    level = sorted(map(cosine, near))[3] - 1e-3
+    close = {p for p in near if cosine(p) >= level}
+    assert close < near
+    for empty in (True, False):
+        named = pairs(allow_empty_entities=empty)
+        assert pairs(least_embedding=level, allow_empty_entities=empty) == named & close
+        assert pairs(mode="union", least_embedding=level, allow_empty_entities=empty) == named | close
+    assert {p: round(r.embedding, 4) for p, r in rows(mode="union", least_embedding=-1.0).items()} == {p: cosine(p) for p in near}
+    assert C.candidate_pairs(df, mode="union").where("claim_id_a = 'a' and claim_id_b = 'b'").count() == 4
+
+
 @pytest.mark.parametrize(
     "a, b, lexical, label",
     [

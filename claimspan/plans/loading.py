@@ -48,10 +48,11 @@ def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def distractors(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "retrieval_json").select(F.col("row_id").alias("sample_id"), F.posexplode("retrieved_chunks").alias("i", "c"))
+    samples = table(spark, folder, "retrieval_json").select(F.col("row_id").alias("sample_id"), "retrieved_chunks")
+    rows = samples.select("sample_id", F.posexplode("retrieved_chunks").alias("i", "c"))
     chunks = rows.select("sample_id", F.col("c.chunk_id").alias("chunk_id"), F.col("c.text").alias("text"), F.coalesce("c.rank", F.col("i") + 1).alias("rank"))
     pool = table(spark, folder, "document_records").select(F.col("doc_id").alias("chunk_id"), F.col("full_text").alias("text"))
-    return P.add_distractors(chunks, pool, 2).groupBy("sample_id").agg(F.count("*").alias("chunks"), F.count_if("distractor").alias("distractors"), F.max("rank").alias("last_rank"))
+    return P.add_distractors(chunks, pool, 2, samples=samples).groupBy("sample_id").agg(F.count("*").alias("chunks"), F.count_if("distractor").alias("distractors"), F.max("rank").alias("last_rank"))
 
 
 def verdict_counts(spark: SparkSession, folder: str) -> DataFrame:

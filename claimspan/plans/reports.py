@@ -25,21 +25,36 @@ def query_taxonomy(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(b,) for b in D.BUCKETS], "bucket string").join(F.broadcast(counts), "bucket", "left").na.fill(0)
 
 
+def _noisy_samples(rows: DataFrame) -> DataFrame:
+    """(sample_id, noisy): whether the retrieved evidence has a mean penalty of .12 or a hard flag.
+
+    The table keeps no chunks, so the claims taken from a chunk, in order, stand in for its text. Chunks that gave no
+    claim are unknown."""
+    claims = rows.select("sample_id", F.posexplode("claims").alias("ord", "c")).where(F.col("c.source_metadata.role") == "retrieved_evidence")
+    of_chunk = F.coalesce("c.source_chunk_id", F.concat(F.lit("claim "), "ord")).alias("chunk")
+    sentences = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("c.text", F.lit("")).alias("text"))))
+    chunks = claims.groupBy("sample_id", F.col("c.source_doc_id").alias("doc"), of_chunk).agg(F.array_join(F.transform(sentences, lambda x: x["text"]), " ").alias("text"))
+    assessed = R.hygiene(chunks.withColumn("score", F.lit(0.0)), "score")
+    hard = F.arrays_overlap("flags", F.array(F.lit("entity_or_appositive_heavy"), F.lit("ultra_short_non_propositional")))
+    return assessed.groupBy("sample_id").agg(((F.round(F.avg("penalty"), 4) >= 0.12) | F.bool_or(hard)).alias("noisy"))
+
+
 def failure_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows without decisive result by failure label."""
+    """Rows without decisive result by failure label. Evidence is noisy by the texts of the row's evidence claims."""
     rows = table(spark, folder, "benchmark_rows")
     asked = F.filter(F.coalesce("claims", F.array().cast(rows.schema["claims"].dataType)), lambda c: c["source_metadata"]["role"] == "query")
     tokens = lambda t: F.size(T.token_list(t))
     n = tokens(F.col("query"))
     bare = lambda c: c["relation"].isNull() & c["object"].isNull()
     decisive = F.coalesce(F.exists("cross_source_nli_results", lambda r: r["label"] != "neutral"), F.lit(False))
-    judged = rows.where(~decisive).select(
+    undecided = rows.where(~decisive)
+    judged = undecided.select(
         "sample_id", "cross_source_pair_count", D.query_bucket(F.col("query")).alias("bucket"), n.alias("n"),
         F.exists(asked, lambda c: tokens(c["text"]) < 6).alias("short"),
         F.exists(asked, lambda c: bare(c) | ((n >= 7) & (tokens(c["text"]) <= F.greatest(F.lit(4), F.floor(n * 0.6))))).alias("collapsed"),
     )
-    label = D.failure_label(F.col("cross_source_pair_count"), F.col("short"), F.col("collapsed"), F.lit(False), F.col("bucket"), F.col("n"))
-    return judged.groupBy(label.alias("failure"), "bucket").agg(F.count("*").alias("rows"))
+    label = D.failure_label(F.col("cross_source_pair_count"), F.col("short"), F.col("collapsed"), F.coalesce("noisy", F.lit(False)), F.col("bucket"), F.col("n"))
+    return judged.join(_noisy_samples(undecided), "sample_id", "left").groupBy(label.alias("failure"), "bucket").agg(F.count("*").alias("rows"))
 
 
 def rule_fires(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+import numpy as np
+from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, SQLTransformer, StringIndexer
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +49,21 @@ def structured_slots(claims: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("full", F.col("subject").isNotNull() & F.col("relation").isNotNull() & F.col("object").isNotNull()).drop("_t", "_plain", "_s", "_before", "_relation", "_after")
 
 
+def _dampened(counts: SparseVector) -> SparseVector:
+    return Vectors.sparse(counts.size, counts.indices, 1 + np.log(counts.values))
+
+
+class SublinearCounts(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """1 + ln(count) of the counts of a sparse vector; absent terms stay absent."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._setDefault(inputCol="counts", outputCol="dampened")
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumn(self.getOutputCol(), F.udf(_dampened, VectorUDT())(self.getInputCol()))
+
+
 def stance_pipeline(features: int = 1 << 16, regularisation: float = 0.01) -> Pipeline:
     """TF-IDF of words and word pairs with sublinear counts, and balanced logistic regression.
 
@@ -54,8 +73,9 @@ def stance_pipeline(features: int = 1 << 16, regularisation: float = 0.01) -> Pi
             StringIndexer(inputCol="label_text", outputCol="label_index", handleInvalid="skip", stringOrderType="frequencyDesc"),
             NGram(n=2, inputCol="tokens", outputCol="pairs"),
             SQLTransformer(statement="SELECT *, concat(tokens, pairs) AS terms FROM __THIS__"),
-            HashingTF(inputCol="terms", outputCol="counts", numFeatures=features, binary=True),
-            IDF(inputCol="counts", outputCol="features", minDocFreq=2),
+            HashingTF(inputCol="terms", outputCol="counts", numFeatures=features),
+            SublinearCounts(),
+            IDF(inputCol="dampened", outputCol="features", minDocFreq=2),
             LogisticRegression(featuresCol="features", labelCol="label_index", weightCol="weight", regParam=regularisation, maxIter=20, predictionCol="predicted"),
         ]
     )

@@ -22,7 +22,7 @@ from .sampling import hash_sample
 UNITS = "sent_no int, char_start int, char_end int"
 #: Texts that the model is trained on at most, candidates used of them at most, and steps of the fit.
 SAMPLE_TEXTS, SAMPLE_CANDIDATES, STEPS, RATE, PENALTY = 3_000, 60_000, 150, 0.1, 0.01
-#: A pair of quotes or brackets further apart than this is not taken as one.
+#: A pair of straight quotes, whose opening and closing marks are the same, is not taken as one if further apart than this.
 PAIR_REACH = 1_500
 
 # Abbreviations, by how they stand in a sentence.
@@ -75,7 +75,7 @@ def paired(line: str) -> list[tuple[int, int, bool]]:
             while stack:
                 close, start = stack.pop()
                 if close == mark:
-                    if b - start <= PAIR_REACH:
+                    if mark != '"' or b - start <= PAIR_REACH:
                         while out and out[-1][0] > start:
                             out.pop()
                         out.append((start, b, mark in _BRACKETS))

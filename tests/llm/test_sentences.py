@@ -2,7 +2,7 @@
 
 import pytest
 
-from claimspan.llm.sentence_units import fit_maxent, fit_on, reliable_rows, sentence_units
+from claimspan.llm.sentence_units import PAIR_REACH, SentenceModel, fit_maxent, fit_on, paired, reliable_rows, sentence_units
 
 MARKED = [
     "Dr. Hilme Hest of Kema Agency put it at 3.3 percent, i.e. about 1,945 samples. ¦ They waited ... and then it ended. ¦ \"Who pays?\" asked Edo.",
@@ -64,3 +64,17 @@ def test_units_cover_everything_but_white_space(spark, model):
 def test_without_training_rows(spark):
     assert fit_maxent(reliable_rows([])).units("One. two") == [(0, 8)]
     assert fit_on(spark.createDataFrame([], "item_key string, text string")).units("") == []
+
+
+@pytest.mark.parametrize("opening, closing", ["“”", "„“", "«»", "「」", "()", "（）", "《》", ("``", "''"), ("-LRB-", "-RRB-")])
+def test_long_quotations_stay_whole(opening, closing):
+    inside = "Nobody asked them here. " * (PAIR_REACH // 12)
+    line = f"Edo said {opening} {inside}{closing} , and left."
+    assert [(a, b) for a, b, _ in paired(line)] == [(9, len(line) - len(" , and left."))]
+    assert SentenceModel({}).units(line) == [(0, len(line))]
+
+
+def test_straight_quotes_have_a_reach():
+    inside = "Nobody asked them here. " * (PAIR_REACH // 12)
+    assert paired(f'Edo said "{inside.strip()}" and left.') == []
+    assert len(paired('Edo said "Nobody asked. Nobody." and left.')) == 1

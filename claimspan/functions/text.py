@@ -47,9 +47,9 @@ def apostrophe_words(text: Column) -> Column:
 
 
 def relevance_keywords(text: Column) -> Column:
-    """Distinct lower-case words of three letters or more."""
+    """Distinct lower-case words of three letters or more without stop words."""
     runs = F.regexp_extract_all(F.lower(text), F.lit(_WORD_RUN), F.lit(0))
-    return F.array_distinct(F.coalesce(F.filter(runs, lambda w: w.rlike("^[a-z]{3,}$")), empty()))
+    return F.array_except(F.coalesce(F.filter(runs, lambda w: w.rlike("^[a-z]{3,}$")), empty()), words_in(V.STOPWORDS_RELEVANCE))
 
 
 def content_tokens(text: Column) -> Column:

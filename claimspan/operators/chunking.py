@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,46 +55,52 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     return spans
 
 
-def group_sentences(sizes: list[int], target: int, most: int, least: int, overlap: int) -> list[tuple[int, int]]:
-    """(first, end) sentence numbers. A group grows until it has the target size and enough sentences, and never beyond
-    the maximum once it has enough; an oversized sentence may stand alone; a remainder too short for a group of its own
-    joins the last one if it fits; the next group repeats ``overlap`` sentences."""
-    groups, start, n = [], 0, len(sizes)
-    while start < n:
-        end, total = start, 0
-        while end < n:
-            have = end - start + 1
-            if have == 1 and sizes[end] >= most:
-                total += sizes[end]
-                end += 1
-                break
-            if total + sizes[end] > most and have >= least:
-                break
-            total += sizes[end]
-            end += 1
-            if total >= target and have >= least:
-                break
-        end = max(end, start + 1)
-        if groups and 0 < n - end < least and total + sum(sizes[end:]) <= most:
-            end = n
-        groups.append((start, end))
-        if end >= n:
-            break
-        start = max(start + 1, end - overlap)
-    return groups
-
-
-def fragmentary(text: str, least_tokens: int) -> bool:
-    """Whether a chunk text looks like a fragment: few tokens, a bad beginning, marker tokens, no closing mark."""
-    tokens = _TOKEN.findall(text)
-    return (
-        len(tokens) < max(least_tokens // 2, 1)
-        or text[0].islower()
-        or not text[0].isalnum()
-        or any(m in text for m in V.MARKER_TOKENS)
-        or (len(tokens) <= 6 and not text.endswith((".", "!", "?")))
-        or sum(any(c.isalpha() for c in t) for t in tokens) <= 2
-    )
+def sentence_groups(sizes: np.ndarray, target: int, most: int, least: int, overlap: int) -> np.ndarray:
+    """(first, end) sentence numbers, one row a group, by prefix sums of the sizes.
+
+    Where a group ends depends on its start alone, so the ends of all possible starts are looked up at once: the first
+    place that has ``target`` tokens and ``least`` sentences, but no further than ``most`` tokens allow (never less than
+    least - 1 sentences); a sentence of ``most`` tokens stands alone. Then the starts are followed, each ``overlap``
+    sentences before the last end. A rest of fewer than ``least`` sentences goes to a later group that has room for it."""
+    n = len(sizes)
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    start = np.arange(n)
+    full = np.maximum(np.searchsorted(upto, upto[:-1] + target, "left"), start + least)
+    room = np.maximum(np.searchsorted(upto, upto[:-1] + most, "right") - 1, start + least - 1)
+    ends = np.where(sizes >= most, start + 1, np.clip(np.minimum(full, room), start + 1, n))
+    takes_rest = (n - ends < least) & (upto[n] - upto[:-1] <= most)
+    groups, at = [], 0
+    while at < n:
+        end = n if groups and takes_rest[at] else int(ends[at])
+        groups.append((at, end))
+        at = n if end == n else max(at + 1, end - overlap)
+    return np.array(groups, np.int64).reshape(-1, 2)
+
+
+#: What makes a chunk look like a fragment, by name: tests on columns of chunks (tokens, tokens with a letter, first and
+#: last character, whether marker tokens occur) and the least number of tokens wanted.
+FRAGMENT_SIGNS = {
+    "small": lambda c, least: c["tokens"] < max(least // 2, 1),
+    "few_words": lambda c, least: c["words"] <= 2,
+    "odd_start": lambda c, least: ~c["starts_well"],
+    "markers": lambda c, least: c["marked"],
+    "short_and_open": lambda c, least: (c["tokens"] <= 6) & ~c["closed"],
+}
+
+
+def merged_groups(groups: np.ndarray, pieces: list[str], tokens: np.ndarray, words: np.ndarray, least_tokens: int) -> np.ndarray:
+    """Groups of fewer than ``least_tokens`` tokens and those with a sign of a fragment go to the group before."""
+    columns = {
+        "tokens": tokens,
+        "words": words,
+        "starts_well": np.array([p[0].isalnum() and not p[0].islower() for p in pieces], bool),
+        "marked": np.array([any(m in p for m in V.MARKER_TOKENS) for p in pieces], bool),
+        "closed": np.array([p[-1] in ".!?" for p in pieces], bool),
+    }
+    kept = (tokens >= least_tokens) & ~np.logical_or.reduce([sign(columns, least_tokens) for sign in FRAGMENT_SIGNS.values()])
+    kept[:1] = True
+    heads = np.flatnonzero(kept)
+    return np.column_stack((groups[heads, 0], np.maximum.reduceat(groups[:, 1], heads))) if len(heads) else groups
 
 
 def sentence_chunks(documents: DataFrame, target: int = 96, most: int = 144, least: int = 2, overlap: int = 1, least_tokens: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -108,15 +115,15 @@ def sentence_chunks(documents: DataFrame, target: int = 96, most: int = 144, lea
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 body = body.replace("\r\n", "\n").replace("\r", "\n")
                 spans = sentence_spans(body)
-                groups: list[list[int]] = []
-                for a, b in group_sentences([len(_TOKEN.findall(body[s:e])) for s, e in spans], target, most, least, overlap):
-                    joined = body[spans[a][0] : spans[b - 1][1]]
-                    short = least_tokens and groups and (len(_TOKEN.findall(joined)) < least_tokens or fragmentary(joined, least_tokens))
-                    if short:
-                        groups[-1][1] = max(groups[-1][1], b)
-                    else:
-                        groups.append([a, b])
-                for no, (a, b) in enumerate(groups):
+                found = [_TOKEN.findall(body[s:e]) for s, e in spans]
+                groups = sentence_groups(np.fromiter(map(len, found), np.int64, len(found)), target, most, least, overlap)
+                if least_tokens and len(groups):
+                    # Sentences cover everything but white space, so what a group holds is the sum over its sentences.
+                    tokens = np.cumsum([0, *map(len, found)])
+                    words = np.cumsum([0, *(sum(not t.isdigit() for t in f) for f in found)])
+                    of = lambda sums: sums[groups[:, 1]] - sums[groups[:, 0]]  # noqa: B023, E731
+                    groups = merged_groups(groups, [body[spans[a][0] : spans[b - 1][1]] for a, b in groups], of(tokens), of(words), least_tokens)
+                for no, (a, b) in enumerate(groups.tolist()):
                     start, end = spans[a][0], spans[b - 1][1]
                     flat = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", body[start:end])).strip()
                     out.append((doc, no, start, end, a, b - 1, flat))

@@ -14,9 +14,10 @@ target with valid_from <= t and t < valid_until. A null valid_from means always,
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MATCH_RULES = ("simple", "partial", "full")
@@ -36,6 +37,25 @@ def fold_targets(targets: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def live_points(points: DataFrame, live: DataFrame, keys: Sequence[str], at: str, bucket: str = "day") -> DataFrame:
+    """The distinct (keys, at) of ``points`` at which some interval [__target_from, __target_until) of ``live`` with the
+    same keys holds.
+
+    An interval holds at t if the largest end among those that began by t lies after t: a running maximum in the order
+    of time, so points and intervals never meet in pairs. A key is run through in pieces of one ``bucket`` of time, each
+    starting from the maximum of the buckets before it, so that a hot key is spread over many tasks."""
+    ever, never = F.lit(datetime(1, 1, 1)), F.lit(datetime(9999, 12, 31))
+    asked = points.select(*keys, F.col(at).alias("__t")).distinct().withColumns({"__end": F.lit(None).cast("timestamp"), "__asked": F.lit(True)})
+    spans = live.groupBy(*keys, F.coalesce("__target_from", ever).alias("__t")).agg(F.max(F.coalesce("__target_until", never)).alias("__end")).withColumn("__asked", F.lit(False))
+    events = asked.unionByName(spans).withColumn("__bucket", F.date_trunc(bucket, "__t"))
+    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = events.groupBy(*keys, "__bucket").agg(F.max("__end").alias("__end"))
+    carried = ends.select(*keys, "__bucket", F.max("__end").over(earlier).alias("__carried"))
+    inside = Window.partitionBy(*keys, "__bucket").orderBy("__t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reached = events.withColumn("__end", F.max("__end").over(inside)).where("__asked").join(carried, [*keys, "__bucket"])
+    return reached.where(F.greatest("__end", "__carried") > F.col("__t")).select(*keys, F.col("__t").alias(at))
+
+
 def find_orphans(refs: DataFrame, targets: DataFrame, keys: Sequence[str], at: str | None = None, match: str = "simple") -> DataFrame:
     """Rows of ``refs`` that name no valid target, with ``null_mask`` and ``reason`` added.
 
@@ -97,14 +117,14 @@ def find_orphans(refs: DataFrame, targets: DataFrame, keys: Sequence[str], at: s
             continue
         present = [k for k, gone in zip(keys, nulls, strict=True) if not gone]
         mask = sum(1 << i for i, gone in enumerate(nulls) if gone)
-        # The intervals are folded by full key first and made distinct, then matched on the present columns only.
-        live = known.where("__target_exists").select(*present, "__target_from", "__target_until").distinct()
-        part, names = mixed.where(F.col("null_mask") == mask).alias("r"), live.alias("t")
-        condition = [F.col(f"r.{k}") == F.col(f"t.{k}") for k in present]
+        live = known.where("__target_exists").select(*present, "__target_from", "__target_until")
+        part = mixed.where(F.col("null_mask") == mask)
+        timed = part.where(when.isNotNull())
+        unmatched = part.where(when.isNull()).join(live.select(*present).distinct(), present, "left_anti")
         if at:
-            condition.append(F.coalesce(F.col("t.__target_from") <= F.col(f"r.{at}"), F.lit(True)))
-            condition.append(F.coalesce(F.col("t.__target_until") > F.col(f"r.{at}"), F.lit(True)))
-        out = out.unionByName(part.join(names, condition, "left_anti").withColumn("reason", F.lit("partial")))
+            points = live_points(timed.select(*present, F.col(at)), live, present, at)
+            unmatched = unmatched.unionByName(timed.join(points, [*present, at], "left_anti"))
+        out = out.unionByName(unmatched.select(*marked.columns).withColumn("reason", F.lit("partial")))
     return out
 
 

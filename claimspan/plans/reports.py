@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vocab as V
 from ..operators import conflict as K
 from ..operators import diagnostics as D
 from ..operators import retrieval as R
@@ -118,7 +119,7 @@ _BUCKET = rf"""case when regexp_matches(q, '["“”]') or {_has("low", D.QUOTE_
 _QUERIES = rf"""b as (select *, {_BUCKET} as bucket from (select *, coalesce(query, '') as q, lower(trim(coalesce(query, ''))) as low,
   len(regexp_extract_all(coalesce(query, ''), '[A-Za-z0-9]+')) as n, len(list_filter(regexp_extract_all(coalesce(query, ''), '[\p{{L}}\p{{N}}_''-]+'), lambda w: regexp_matches(w, '^[A-Z]'))) as caps,
   len(list_filter(coalesce(cross_source_nli_results, []), lambda r: r.label <> 'neutral')) > 0 as decisive from benchmark_rows))"""
-_KEYS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}'))"
+_KEYS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}') and not list_contains(" + S.strings(V.STOPWORDS_RELEVANCE) + ", w))"
 ORACLES = {
     "query_buckets": f"with {_QUERIES} select sample_id, bucket from b",
     "query_taxonomy": f"""with {_QUERIES} select t.bucket as bucket, count(b.sample_id) as rows, count(*) filter (where b.decisive) as decisive

@@ -12,6 +12,7 @@ import tempfile
 from collections.abc import Sequence
 from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,14 +55,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Use the cluster's checkpoint folder; only where none is set (tests, one machine) make one."""
+    """Use the cluster's checkpoint folder; only on one machine (tests), where none is set, make one.
+
+    On a cluster a machine-local folder would not outlive an executor, so a missing setting is an error there. What was
+    stored is removed when the program ends, together with the folder Spark made in the shared one."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if named is None:
-            named = tempfile.mkdtemp(prefix="claimspan-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        context.setCheckpointDir(named)
+    if context.getCheckpointDir() is not None:
+        return
+    named = context.getConf().get("spark.checkpoint.dir")
+    if named is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="claimspan-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    context.setCheckpointDir(named)
+    atexit.register(_remove_checkpoints, context)
+
+
+def _remove_checkpoints(context: SparkContext) -> None:
+    try:
+        path = context._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session is gone: nothing can be removed through it
+        return
 
 
 def cut(df: DataFrame) -> DataFrame:

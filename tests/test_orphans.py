@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -44,6 +45,18 @@ def test_masks_times_and_rules(spark, match):
     assert everything.count() == 28 and {x.reason for x in everything.collect()} == {"missing"}
 
 
+def test_partial_match_over_many_overlapping_intervals(spark):
+    rng = random.Random(6)
+    day = lambda: datetime(2025, rng.randint(1, 2), rng.randint(1, 28), rng.randint(0, 3))
+    targets = [("hot", str(i), rng.choice([None, day()]) if i % 9 == 0 else day(), day() if i % 40 else None) for i in range(120)] + [("cold", "1", day(), day())]
+    refs = [(i, rng.choice(["hot", "cold", "gone"]), None, rng.choice([None, day(), day(), day()])) for i in range(400)]
+    r = spark.createDataFrame(refs, "n int, a string, b string, at timestamp")
+    t = spark.createDataFrame([x for x in targets if x[2]], "a string, b string, valid_from timestamp, valid_until timestamp")
+    live = lambda x, at: at is None or (x[2] <= at and (x[3] is None or x[3] > at))
+    want = [n for n, a, _, at in refs if not any(x[0] == a and x[2] and live(x, at) for x in targets)]
+    assert sorted(x.n for x in find_orphans(r, t, KEYS, "at", "partial").collect()) == want
+
+
 def test_unknown_rule_is_refused(spark):
     df = spark.createDataFrame([(1,)], "a int")
     with pytest.raises(ValueError):

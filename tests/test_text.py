@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ def one(spark, column, text):
         (T.sentences_plain, "One. Two!\n\n Three", ["One.", "Two!", "Three"]),
         (T.sentences_plain, "", []),
         (T.sentences_protected, "Mr. Hest met Dr. Wale vs. Tam. Later.", ["Mr. Hest met Dr. Wale vs. Tam.", "Later."]),
+        (T.relevance_keywords, "What is the Toll on those Harbours, and who PAYS the toll?", ["toll", "harbours", "pays"]),
+        (T.relevance_keywords, "What is this?", []),
         (T.content_tokens, "Officials approved denies", ["officials", "official", "approved", "approv", "denies", "deni", "denie"]),
         (T.entities, "The Harbour Bank of Tam-X paid A Harbour", ["Bank", "Harbour", "Tam-X"]),
         (T.polarity, "It may not open", "negative"),
@@ -69,13 +72,22 @@ def test_window_chunks(spark):
 
 
 def test_sentence_groups():
-    assert C.group_sentences([6, 6, 6, 6], 12, 20, 2, 1) == [(0, 2), (1, 4)]
-    assert C.group_sentences([200, 5, 5], 12, 20, 2, 0) == [(0, 1), (1, 3)]
-    assert C.group_sentences([], 12, 20, 2, 1) == []
+    groups = lambda sizes, *a: C.sentence_groups(np.array(sizes, np.int64), *a).tolist()
+    assert groups([6, 6, 6, 6], 12, 20, 2, 1) == [[0, 2], [1, 4]]
+    assert groups([200, 5, 5], 12, 20, 2, 0) == [[0, 1], [1, 3]]
+    assert groups([], 12, 20, 2, 1) == []
+    assert groups([0, 0, 0], 12, 20, 2, 1) == [[0, 3]]
     spans = C.sentence_spans("Dr. Wale met J. Hest. It rained.\n\nNew one here.")
     assert len(spans) == 3
 
 
+def test_trailing_fragment_goes_to_the_group_before(spark):
+    text = "Alpha beta gamma delta runs fast. Second sentence follows here now. Meanwhile."
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    rows = C.sentence_chunks(df, 12, 20, 2, 0, least_tokens=4).collect()
+    assert [(r.sentence_start, r.sentence_end) for r in rows] == [(0, 2)] and rows[0].chunk == text
+
+
 def test_sentence_chunks(spark):
     df = spark.createDataFrame([(1, "Alpha beta gamma delta runs. Second sentence follows here now. Third one ends it well. Meanwhile.", "x"), (2, None, "x"), (3, "", "x")], "doc_id int, text string, chunk string")
     rows = C.sentence_chunks(df, 12, 40, 2, 1, least_tokens=4).collect()
@@ -134,8 +146,6 @@ def test_search_pipeline(spark):
 
 
 def test_exact_neighbours_against_brute_force(spark):
-    import numpy as np
-
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(300, 8)).round(3)
     vectors[5] = 0

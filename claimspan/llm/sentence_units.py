@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from .sampling import hash_sample
 
 UNITS = "sent_no int, char_start int, char_end int"
-#: Texts that the model is trained on at most, candidates used of them at most, and steps of the fit.
-SAMPLE_TEXTS, SAMPLE_CANDIDATES, STEPS, RATE, PENALTY = 3_000, 60_000, 150, 0.1, 0.01
+#: Texts that the model is trained on at most, characters of a longer one, candidates used of them at most; steps of the fit.
+SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_CANDIDATES, STEPS, RATE, PENALTY = 3_000, 20_000, 60_000, 150, 0.1, 0.01
 #: A pair of straight quotes, whose opening and closing marks are the same, is not taken as one if further apart than this.
 PAIR_REACH = 1_500
 
@@ -289,7 +289,7 @@ def reliable_rows(texts: list[str]) -> list[tuple[list[str], bool]]:
 
 def fit_on(texts: DataFrame, key: str = "item_key", text: str = "text") -> SentenceModel:
     """The model from at most SAMPLE_TEXTS texts, picked by hash. The units are then found in all texts alike."""
-    return fit_maxent(reliable_rows(hash_sample(texts, key, text, SAMPLE_TEXTS)))
+    return fit_maxent(reliable_rows(hash_sample(texts, key, text, SAMPLE_TEXTS, SAMPLE_CHARS)))
 
 
 def sentence_units(texts: DataFrame, model: SentenceModel, text: str = "text") -> DataFrame:

@@ -1,9 +1,9 @@
 """Sentence units of texts in many scripts.
 
 Candidate boundaries (closing marks with what closes with them, and spaces in Thai) are classified by a maximum-entropy
-model over the neighbouring tokens, case, length, digits and script. The model is trained on reliable boundaries of a
-bounded sample of the texts: places that the neighbouring characters decide beyond doubt. Quotations and brackets are
-paired first; a mark inside a pair is no candidate.
+model over the neighbouring tokens, case, length, digits, script and whether the mark stands inside a quotation, a
+bracket, a number or an address. The model decides every candidate. It is trained on reliable boundaries of a bounded
+sample of the texts: places that the neighbouring characters decide beyond doubt.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +23,9 @@ from .sampling import hash_sample
 
 UNITS = "sent_no int, char_start int, char_end int"
 #: Texts that the model is trained on at most, characters of a longer one, candidates used of them at most; steps of the fit.
-SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_CANDIDATES, STEPS, RATE, PENALTY = 3_000, 20_000, 60_000, 150, 0.1, 0.01
-#: A pair of straight quotes, whose opening and closing marks are the same, is not taken as one if further apart than this.
-PAIR_REACH = 1_500
+SAMPLE_TEXTS, SAMPLE_CHARS, SAMPLE_CANDIDATES, STEPS, RATE, PENALTY = 3_000, 20_000, 60_000, 600, 0.1, 0.01
+#: A neighbouring word is a feature of its own from so many occurrences in the sample on; letters of it that are looked at.
+WORD_OCCURS, WORD_LETTERS = 3, 40
 
 # Abbreviations, by how they stand in a sentence.
 BEFORE_NAMES = frozenset(
@@ -75,10 +77,9 @@ def paired(line: str) -> list[tuple[int, int, bool]]:
             while stack:
                 close, start = stack.pop()
                 if close == mark:
-                    if mark != '"' or b - start <= PAIR_REACH:
-                        while out and out[-1][0] > start:
-                            out.pop()
-                        out.append((start, b, mark in _BRACKETS))
+                    while out and out[-1][0] > start:
+                        out.pop()
+                    out.append((start, b, mark in _BRACKETS))
                     break
         elif opens:
             stack.append((_OPEN.get(mark, '"'), a))
@@ -127,13 +128,48 @@ def _token_class(token: str) -> str:
     return "number" if low[:1].isdigit() else "word"
 
 
+class Shape(NamedTuple):
+    """What a place looks like, apart from the words next to it."""
+
+    sort: str  # of the mark
+    place: str  # inside a pair, an address, a number, or nowhere special
+    cls: str  # class of the word before
+    size: int  # its length, up to 5
+    script: str
+    kind: str  # of the character after
+    gap: bool  # white space after the mark
+    spaced: bool  # white space before it
+    quote: str  # what closes with the mark: nothing, a quotation that began the unit, another one
+    cased: bool  # the line has capitals
+    next_cls: str
+    calendar: bool  # the word after is a day, month or time zone
+    counted: str  # a number before the mark: at the start of the line, after a word for figures, after another
+    capitalised: bool  # the letter after next is small
+
+    def features(self) -> tuple[list[str], list[str], list[str]]:
+        """Features of the mark and what is before it, of what comes after, and of several things at once. In training the
+        last two parts are left out of some rows, so that each part is learned for itself too."""
+        x = self
+        before = [
+            f"m={x.sort}", f"in={x.place}", f"c={x.cls}", f"l={x.size}", f"s={x.script}", f"sp={x.spaced}", f"gap={x.gap}|{x.sort}", f"ms={x.sort}|{x.script}", f"cs={x.cls}|{x.spaced}",
+            f"num={x.counted}",
+        ]
+        after = [f"k={x.kind}", f"kc={x.kind}|{x.cased}"]
+        joint = [
+            f"nc={x.next_cls}|{x.cls}", f"cal={x.calendar}|{x.cls}", f"ck={x.cls}|{x.kind}", f"mk={x.sort}|{x.kind}", f"q={x.quote}|{x.kind}|{x.script == 'latin'}",
+            f"gk={x.gap}|{x.sort}|{x.kind}|{min(x.size, 3)}|{x.cls == 'word'}|{x.capitalised}", f"nk={x.counted}|{x.kind}", "all=" + "|".join(map(str, x)),
+        ]
+        return before, after, joint
+
+
 class Candidate:
-    """A place where a unit may end: offset after the closing mark and its closers, features, and what is certain."""
+    """A place where a unit may end: offset after the closing mark and its closers, how it looks, the words next to it,
+    and whether its neighbours decide it beyond doubt (used in training only)."""
 
-    __slots__ = ("certain", "end", "features")
+    __slots__ = ("certain", "end", "next_word", "shape", "word")
 
-    def __init__(self, end: int, features: list[str], certain: bool | None) -> None:
-        self.end, self.features, self.certain = end, features, certain
+    def __init__(self, end: int, shape: Shape, word: str, next_word: str, certain: bool | None) -> None:
+        self.end, self.shape, self.word, self.next_word, self.certain = end, shape, word, next_word, certain
 
 
 def candidates(line: str) -> Iterator[Candidate]:
@@ -142,28 +178,31 @@ def candidates(line: str) -> Iterator[Candidate]:
     guarded = [(m.start(), m.end()) for m in _PROTECTED.finditer(line)] if "." in line else []
     guard_starts = [g[0] for g in guarded]
     cased = any(c.isupper() for c in line)
-    done = -1  # end of a pair whose inner marks were dealt with
+    done = -1  # end of a pair that closes with a mark before
     for m in _MARK.finditer(line):
         a, b = m.span()
         if a < done:
             continue
-        k = bisect_right(guard_starts, a) - 1
-        if k >= 0 and a < guarded[k][1]:
-            continue
+        mark = m.group()
         before = line[a - 1] if a else ""
         after = line[b] if b < len(line) else ""
-        if m.group() == "." and after.isdigit() and (before.isdigit() or not before or before.isspace()):
-            continue
+        place = ""
+        k = bisect_right(guard_starts, a) - 1
+        if k >= 0 and a < guarded[k][1]:
+            place = "address"
+        elif mark == "." and after.isdigit() and (before.isdigit() or not before or before.isspace()):
+            place = "number"
         k = bisect_right(starts, a) - 1
         quote = pairs[k] if k >= 0 and a < pairs[k][1] else None
         end = b
-        if quote:
+        if quote and not place:
             rest = line[b : quote[1]]
             if rest.strip() and _QUOTE.sub("", rest).strip():
-                continue  # inside the pair
-            end = done = quote[1]
+                place, quote = "pair", None
+            else:
+                end = done = quote[1]
         # Closers that stand right after the mark, also of pairs that began before and, in tokenised text, set apart.
-        while end < len(line) and line[end] in "”’»」』）)]\"'" and not (line[end] in "\"'" and end + 1 < len(line) and line[end + 1].isalnum()):
+        while not place and end < len(line) and line[end] in "”’»」』）)]\"'" and not (line[end] in "\"'" and end + 1 < len(line) and line[end + 1].isalnum()):
             end += 1
         follow = end
         while follow < len(line) and line[follow].isspace():
@@ -171,25 +210,36 @@ def candidates(line: str) -> Iterator[Candidate]:
         nxt = line[follow] if follow < len(line) else ""
         gap = follow > end
         kind = "opening" if line.startswith(("-LRB-", "-LSB-"), follow) else _char_kind(nxt)
-        word = _WORD_BEFORE.search(line[max(0, a - 40) : a].rstrip()) if a else None
+        if kind == "trailing":
+            continue  # a comma, colon, dash or closer goes on with the sentence: the mark closes nothing
+        last = a
+        while last and line[last - 1].isspace():
+            last -= 1
+        word = _WORD_BEFORE.search(line[max(0, last - WORD_LETTERS) : last]) if last else None
         token = re.split("['\u2019]", word.group().lstrip("'’-–—*#"))[-1] if word else ""
         spaced = bool(before) and before.isspace()
-        nw = _WORD_AFTER.match(line, follow, follow + 40)
+        nw = _WORD_AFTER.match(line, follow, follow + WORD_LETTERS)
         next_word = nw.group().lower().rstrip(".") if nw else ""
-        mark = m.group()
         sort = "dots" if "…" in mark or ".." in mark else "stop" if mark == "." else "wide" if mark[-1] in "。！？｡।॥؟۔" else "ask"
         cls = "word" if sort != "stop" or spaced and sort == "stop" and len(token) > 1 and token[-1:] != "." else _token_class(token) if token else "none"
         script = _script(token[-1]) if token else _script(before or nxt or "a")
+        calendar, capitalised, counted = next_word in CALENDAR, line[follow + 1 : follow + 2].islower(), ""
+        if sort == "stop" and cls == "number" and (found := _COUNTED.search(line, max(0, a - WORD_LETTERS), a)):
+            counted = "first" if not found.group(1) else "figures" if found.group(1).rstrip(".").lower() in BEFORE_FIGURES else "other"
+        closes = ""
+        if quote:
+            lead = line[: quote[0]].rstrip()
+            closes = "led" if not lead or lead[-1] in "。！？.!?।؟…”」』»\"" or (lead[-1] not in ":：,،，" and not lead[-1].isalnum()) else "held"
         # What is certain.
         certain: bool | None = None
-        if kind == "end":
+        if place:
+            certain = False
+        elif kind == "end":
             certain = True
-        elif kind in ("trailing", "lower") and (kind == "trailing" or cased):
+        elif kind == "lower" and cased:
             certain = False
         elif quote and kind == "caseless":
-            lead = line[: quote[0]].rstrip()
-            starts_unit = not lead or lead[-1] in "。！？.!?।؟…”」』»\"" or (lead[-1] not in ":：,،，" and not lead[-1].isalnum())
-            certain = not starts_unit
+            certain = closes == "held"
         elif quote and kind == "opening" and script != "latin":
             certain = True
         elif sort == "dots" and script in ("CJK", "HIRAGANA", "KATAKANA"):
@@ -199,32 +249,30 @@ def candidates(line: str) -> Iterator[Candidate]:
         elif script == "THAI" or (script == "DEVANAGARI" and sort == "stop"):
             certain = False
         elif not gap and sort == "stop" and not quote:
-            certain = False if kind != "upper" or cls != "word" or len(token) < 3 or not line[follow + 1 : follow + 2].islower() else None
+            certain = False if kind != "upper" or cls != "word" or len(token) < 3 or not capitalised else None
         elif sort == "stop" and cls in ("before_names", "initial") and not spaced:
             certain = False
         elif sort == "stop" and cls in ("before_figures", "inside") and kind == "digit":
             certain = False
-        elif sort == "stop" and next_word in CALENDAR and cls in ("number", "may_end", "dotted"):
+        elif sort == "stop" and calendar and cls in ("number", "may_end", "dotted"):
             certain = False
         elif sort == "stop" and cls == "may_end" and kind == "upper" and gap:
             certain = True
-        elif sort == "stop" and cls == "number" and kind == "upper" and gap and (counted := _COUNTED.search(line, max(0, a - 40), a)):
-            certain = counted.group(1).rstrip(".").lower() in BEFORE_FIGURES or (None if counted.group(1) else False)
+        elif counted and kind == "upper" and gap:
+            certain = {"first": False, "figures": True}.get(counted)
         elif cls == "word" and len(token) >= 4 and kind == "upper" and gap and sort in ("stop", "ask") and not quote:
             certain = True
-        features = [
-            f"m={sort}", f"w={token[-12:].lower()}", f"c={cls}", f"l={min(len(token), 5)}", f"s={script}", f"k={kind}", f"n={next_word[:12]}",
-            f"ck={cls}|{kind}", f"mk={sort}|{kind}", f"gap={gap}|{sort}", f"sp={spaced}", f"q={quote is not None}|{kind}", f"nc={_token_class(next_word) if next_word else 'none'}|{cls}",
-        ]
-        yield Candidate(end, features, certain)
+        shape = Shape(sort, place, cls, min(len(token), 5), script, kind, gap, spaced, closes, cased, _token_class(next_word) if next_word else "none", calendar, counted, capitalised)
+        yield Candidate(end, shape, token[-12:].lower(), next_word[:12], certain)
     if _THAI.search(line):
         for m in _THAI_GAP.finditer(line):
             left, right = line[m.start() - 1], line[m.end()]
-            k = bisect_right(starts, m.start()) - 1
-            if k >= 0 and m.start() < pairs[k][1]:
+            if not (_THAI.match(left) or _THAI.match(right)):
                 continue
-            if (_THAI.match(left) or _THAI.match(right)) and not left.isnumeric() and not right.isnumeric():
-                yield Candidate(m.start(), ["thai"], True)
+            k = bisect_right(starts, m.start()) - 1
+            place = "pair" if k >= 0 and m.start() < pairs[k][1] else "number" if left.isnumeric() or right.isnumeric() else ""
+            shape = Shape("space", place, "none", 0, "THAI", _char_kind(right), True, False, "", cased, "none", False, "", False)
+            yield Candidate(m.start(), shape, "", "", not place)
 
 
 class SentenceModel:
@@ -232,12 +280,14 @@ class SentenceModel:
 
     def __init__(self, weights: dict[str, float]) -> None:
         self.weights = weights
+        self.by_shape: dict[Shape, float] = {}
 
     def ends(self, c: Candidate) -> bool:
-        if c.certain is not None:
-            return c.certain
         get = self.weights.get
-        return get("bias", 0.0) + sum(get(f, 0.0) for f in c.features) > 0
+        score = self.by_shape.get(c.shape)
+        if score is None:
+            score = self.by_shape[c.shape] = get("bias", 0.0) + sum(get(f, 0.0) for part in c.shape.features() for f in part)
+        return score + get("w=" + c.word, 0.0) + get("n=" + c.next_word, 0.0) > 0
 
     def units(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of the units, in order, without the white space between them."""
@@ -254,8 +304,9 @@ class SentenceModel:
         return out
 
 
-def fit_maxent(rows: list[tuple[list[str], bool]]) -> SentenceModel:
-    """Binary maximum entropy (logistic) by gradient steps on the penalised log likelihood."""
+def fit_maxent(rows: Counter) -> SentenceModel:
+    """Binary maximum entropy (logistic) by gradient steps on the penalised log likelihood. ``rows`` counts (features,
+    label)."""
     number: dict[str, int] = {"bias": 0}
     owner, feature = [], []
     for i, (features, _) in enumerate(rows):
@@ -263,27 +314,37 @@ def fit_maxent(rows: list[tuple[list[str], bool]]) -> SentenceModel:
             owner.append(i)
             feature.append(number.setdefault(f, len(number)))
     owner_, feature_ = np.array(owner, np.int64), np.array(feature, np.int64)
-    target = np.array([label for _, label in rows], np.float64)
+    target, times = np.array([label for _, label in rows], np.float64), np.array(list(rows.values()), np.float64)
     w, first, second = np.zeros(len(number)), np.zeros(len(number)), np.zeros(len(number))
     for step in range(1, STEPS + 1):
         chance = 1 / (1 + np.exp(-np.clip(np.bincount(owner_, w[feature_], minlength=len(rows)), -40, 40)))
-        slope = (np.bincount(feature_, (chance - target)[owner_], minlength=len(w)) + PENALTY * w) / max(len(rows), 1)
+        slope = (np.bincount(feature_, (times * (chance - target))[owner_], minlength=len(w)) + PENALTY * w) / max(times.sum(), 1)
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         w -= RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return SentenceModel({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-4})
 
 
-def reliable_rows(texts: list[str]) -> list[tuple[list[str], bool]]:
-    """Training rows from places that are certain. Of a certain place the features that made it so are left out half of
-    the time (by turns), so that the remaining ones are learned too."""
-    rows: list[tuple[list[str], bool]] = []
+def reliable_rows(texts: list[str]) -> Counter:
+    """How often each (features, label) occurs among places that are certain: once with all features, once without the
+    joint ones and once with neither those nor the ones of what follows, a third each."""
+    found: Counter = Counter()
     for text in texts:
         for line in _BREAK.finditer(text):
             for c in candidates(line.group()):
-                if c.certain is not None and len(c.features) > 1:
-                    rows.append((c.features if len(rows) % 2 else [f for f in c.features if not f.startswith(("k=", "ck=", "mk=", "q="))], c.certain))
-                    if len(rows) >= SAMPLE_CANDIDATES:
-                        return rows
+                if c.certain is not None:
+                    found[c.shape, c.word, c.next_word, c.certain] += 1
+        if found.total() >= SAMPLE_CANDIDATES:
+            break
+    words, next_words = Counter(), Counter()
+    for (_, word, next_word, _), n in found.items():
+        words[word] += n
+        next_words[next_word] += n
+    rows: Counter = Counter()
+    for (shape, word, next_word, label), n in found.items():
+        before, after, joint = shape.features()
+        before += [f"w={word}"] * (words[word] >= WORD_OCCURS) + [f"n={next_word}"] * (next_words[next_word] >= WORD_OCCURS)
+        for features in (before, before + after, before + after + joint):
+            rows[tuple(features), label] += n / 3
     return rows
 
 
@@ -295,7 +356,8 @@ def fit_on(texts: DataFrame, key: str = "item_key", text: str = "text") -> Sente
 def sentence_units(texts: DataFrame, model: SentenceModel, text: str = "text") -> DataFrame:
     """One row per unit with the other columns of ``texts``, sent_no, char_start and char_end (Unicode characters).
 
-    Null texts and texts of white space give none; repeated rows give repeated units. Other columns must not be called
+    Null texts and texts of white space give none; repeated rows give repeated units; quotations and brackets are paired
+    within their line, whatever their length. Other columns must not be called
     like the three new ones. The model is bounded by its training sample and goes out in a broadcast. No shuffle."""
     shared = texts.sparkSession.sparkContext.broadcast(model.weights)
     at = texts.columns.index(text)

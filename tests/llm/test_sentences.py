@@ -2,7 +2,7 @@
 
 import pytest
 
-from claimspan.llm.sentence_units import PAIR_REACH, SentenceModel, fit_maxent, fit_on, paired, reliable_rows, sentence_units
+from claimspan.llm.sentence_units import SentenceModel, candidates, fit_maxent, fit_on, paired, reliable_rows, sentence_units
 
 MARKED = [
     "Dr. Hilme Hest of Kema Agency put it at 3.3 percent, i.e. about 1,945 samples. ¦ They waited ... and then it ended. ¦ \"Who pays?\" asked Edo.",
@@ -66,15 +66,31 @@ def test_without_training_rows(spark):
     assert fit_on(spark.createDataFrame([], "item_key string, text string")).units("") == []
 
 
-@pytest.mark.parametrize("opening, closing", ["“”", "„“", "«»", "「」", "()", "（）", "《》", ("``", "''"), ("-LRB-", "-RRB-")])
-def test_long_quotations_stay_whole(opening, closing):
-    inside = "Nobody asked them here. " * (PAIR_REACH // 12)
-    line = f"Edo said {opening} {inside}{closing} , and left."
-    assert [(a, b) for a, b, _ in paired(line)] == [(9, len(line) - len(" , and left."))]
-    assert SentenceModel({}).units(line) == [(0, len(line))]
+@pytest.mark.parametrize("opening, closing", ["“”", "„“", "«»", "「」", "()", "（）", "《》", '""', ("``", "''"), ("-LRB-", "-RRB-")])
+def test_long_quotations_stay_whole(model, opening, closing):
+    inside = ("Nobody asked them here. " * 420).strip()  # 10,000 characters
+    line = f"Edo said {opening}{inside}{closing}, and left." if opening == '"' else f"Edo said {opening} {inside} {closing} , and left."
+    start = line.index(opening)
+    assert [(a, b) for a, b, _ in paired(line)] == [(start, line.rindex(closing) + len(closing))]
+    assert model.units(line) == [(0, len(line))]
 
 
-def test_straight_quotes_have_a_reach():
-    inside = "Nobody asked them here. " * (PAIR_REACH // 12)
-    assert paired(f'Edo said "{inside.strip()}" and left.') == []
-    assert len(paired('Edo said "Nobody asked. Nobody." and left.')) == 1
+def test_places_in_numbers_and_addresses_are_candidates_that_the_model_turns_down(model):
+    line = "It cost 3.5 million. See https://chu.example/ske.html?v=2.1 for (e.g. here. There) more."
+    found = [(c.shape.place, model.ends(c)) for c in candidates(line)]
+    assert ("number", False) in found and ("address", False) in found and ("pair", False) in found
+    assert [line[a:b] for a, b in model.units(line)] == ["It cost 3.5 million.", line[21:]]
+
+
+def test_features_reach_over_wide_gaps(model):
+    line = "Edo waited" + " " * 500 + ". Then it ended."
+    assert next(candidates(line)).word == "waited"
+    assert len(model.units(line)) == 2
+
+
+def test_the_model_decides_as_the_reliable_places_say(spark, model):
+    """On texts that it was not fitted on, the model agrees with nearly all places that are certain, and it alone decides."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/retrieval_json.parquet").selectExpr("explode(retrieved_chunks.text) as text").collect() if r.text]
+    sure = [(c.certain, model.ends(c)) for t in texts for line in t.splitlines() for c in candidates(line) if c.certain is not None]
+    assert len(sure) > 300 and sum(a == b for a, b in sure) / len(sure) > 0.998
+    assert not SentenceModel({}).ends(next(candidates("It ended. Then it began.")))

@@ -1,10 +1,11 @@
 """Filling fixed-capacity containers with texts of varying length.
 
 The length histogram (at most one row per length up to the capacity) gives a configuration linear program: use as few
-containers as possible so that every length is covered. It is solved by multiplicative weights: prices per length
-rise where cover lags behind, knapsack dynamic programming finds the most valuable filling at these prices. The
-fractional fillings are rounded, the few items left are filled largest first. Only the histogram reaches the driver;
-the items are numbered and assigned on the executors.
+containers as possible so that every length is covered. It is solved by multiplicative weights: the price of a length
+falls exponentially with its cover, knapsack dynamic programming finds the fillings that are most valuable at these
+prices, and the prices give a lower bound at every step (what the histogram is worth over what one container can hold).
+The solution is reduced to one filling a length, rounded down, and the few items left are filled largest first. Only
+the histogram reaches the driver; the items are numbered and assigned on the executors.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-#: Rounds of the linear program, size of a step as a share of the scarcest length, how strongly prices react to lagging
-#: cover, and the power of the length that they start from.
-ROUNDS, STEP, REACTION, PREFER_LONG = 300, 0.5, 2.0, 1.15
+#: Lengths are gathered into at most so many classes, each as long as its longest member, in the program.
+CLASSES = 48
+#: Accuracies that the program is solved to, one after the other, rounds for each, and the gap to the bound that is good
+#: enough to stop.
+ACCURACIES, ROUNDS, GAP = (0.3, 0.1, 0.03), 120, 0.002
 #: Items numbered in one window group, about.
 NUMBERED = 500_000
 
@@ -34,32 +37,119 @@ class Filling:
     times: int
 
 
-def best_filling(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
-    """Counts per length of the most valuable filling (knapsack by dynamic programming over the capacity).
-
-    More than ``most`` of a length are cut back to it."""
-    best = np.zeros(capacity + 1)
-    choice = np.full(capacity + 1, -1, np.int64)
-    order = np.argsort(lengths, kind="stable")
-    lengths_up, values_up = lengths[order], values[order]
-    reach = np.searchsorted(lengths_up, np.arange(capacity + 1), "right")
-    for room in range(1, capacity + 1):
-        best[room], choice[room] = best[room - 1], -1
-        k = reach[room]
-        if k:
-            worth = best[room - lengths_up[:k]] + values_up[:k]
-            top = int(np.argmax(worth))
-            if worth[top] > best[room] + 1e-15:
-                best[room], choice[room] = worth[top], order[top]
+@dataclass(frozen=True)
+class Program:
+    """Solution of the configuration program: fillings (items per class, one row each) and how many containers take each
+    (fractions), their sum, and a lower bound for any packing of the histogram."""
+
+    classes: np.ndarray
+    fillings: np.ndarray
+    amounts: np.ndarray
+    value: float
+    bound: float
+
+
+def best_values(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room up to the capacity the value of the best filling (knapsack by dynamic programming) and the item that
+    it takes first (-1: leaves a unit free). ``lengths`` rises."""
+    best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1, np.int64)
+    reach = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    for room in range(int(lengths[0]), capacity + 1):
+        best[room] = best[room - 1]
+        worth = best[room - lengths[: reach[room]]] + values[: reach[room]]
+        top = int(worth.argmax())
+        if worth[top] > best[room] * (1 + 1e-12):
+            best[room], choice[room] = worth[top], top
+    return best, choice
+
+
+def best_filling(lengths: np.ndarray, choice: np.ndarray, room: int) -> np.ndarray:
     counts = np.zeros(len(lengths), np.int64)
-    room = capacity
     while room > 0:
         if choice[room] < 0:
             room -= 1
         else:
             counts[choice[room]] += 1
             room -= int(lengths[choice[room]])
-    return np.minimum(counts, most)
+    return counts
+
+
+def size_classes(lengths: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Class of each length (``lengths`` rises): at most CLASSES runs of neighbouring lengths with about as many items."""
+    if len(lengths) <= CLASSES:
+        return np.arange(len(lengths))
+    upto = np.cumsum(need) - need / 2
+    return np.unique((upto * CLASSES / need.sum()).astype(np.int64), return_inverse=True)[1]
+
+
+def solve_program(lengths: np.ndarray, need: np.ndarray, capacity: int) -> Program:
+    """The configuration program by multiplicative weights. ``lengths`` rises; the work depends on the capacity only.
+
+    Each round prices the classes, lists for every class the best filling that contains it, keeps those that are nearly
+    as valuable as the best of all, and raises their amounts together, by as much as lets no class gain more than a
+    small share of its need. The amounts, scaled so that the least covered class is covered, are a solution."""
+    group = size_classes(lengths, need)
+    size = np.array([lengths[group == g].max() for g in range(group.max() + 1)])
+    wanted = np.bincount(group, need)
+    bound, value, found, dual = float(lengths @ need) / capacity, np.inf, {}, (0.0, size / capacity)
+    start = np.log(size / capacity)
+    for accuracy in ACCURACIES:
+        sharpness = np.log(len(size) + 1) / accuracy
+        cover, amounts, total = np.zeros(len(size)), {}, 0.0
+        for _ in range(ROUNDS):
+            price = start - sharpness * (cover - cover.min())
+            price = np.exp(price - price.max())
+            best, choice = best_values(size, price, capacity)
+            if (worth := float(wanted @ price) / best[capacity]) > dual[0]:
+                dual = worth, price
+            with_class = price + best[capacity - size]
+            near = {}
+            for c in np.flatnonzero(with_class >= (1 - accuracy) * best[capacity]):
+                filling = best_filling(size, choice, capacity - int(size[c]))
+                filling[c] += 1
+                near[filling.tobytes()] = filling, with_class[c]
+            rows = np.array([f for f, _ in near.values()])
+            lag = np.array([w for _, w in near.values()]) / best[capacity] - 1
+            step = np.array([(wanted[f > 0] / f[f > 0]).min() for f in rows]) * np.exp(lag / accuracy)
+            gain = step @ rows / wanted
+            step *= 1 / (sharpness * gain.max())
+            for key, amount in zip(near, step.tolist(), strict=True):
+                amounts[key] = amounts.get(key, 0.0) + amount
+            cover += step @ rows / wanted
+            total += step.sum()
+            if cover.min() > 0 and total / cover.min() < value:
+                value, found = total / cover.min(), {k: x / cover.min() for k, x in amounts.items()}
+            if value <= dual[0] * (1 + GAP):
+                break
+        # Any prices of lengths bound the number of containers from below; these come from the best prices of classes.
+        for of_length in (dual[1][group], dual[1][group] * lengths / size[group]):
+            bound = max(bound, float(of_length @ need) / best_values(lengths, of_length, capacity)[0][capacity])
+        if value <= dual[0] * (1 + GAP):
+            break
+        start = np.log(price)
+    rows, amounts = few_fillings(np.array([np.frombuffer(k, np.int64) for k in found]), np.array(list(found.values())))
+    return Program(size, rows, amounts, float(amounts.sum()), bound)
+
+
+def few_fillings(rows: np.ndarray, amounts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same cover with at most as many fillings as there are classes and no more containers: among more fillings than
+    classes some combination adds nothing; amounts are shifted along it, the way that does not cost, until one is 0."""
+    order = np.argsort(amounts)
+    rows, amounts = rows[order].astype(np.float64), amounts[order]
+    classes = rows.shape[1]
+    while len(amounts) > classes:
+        head = slice(0, classes + 1)
+        way = np.linalg.svd(rows[head].T)[2][-1]
+        way = -way if way.sum() > 0 else way
+        falling = way < -1e-12
+        if not falling.any():
+            break
+        steps = np.where(falling, amounts[head] / np.where(falling, -way, 1.0), np.inf)
+        gone = int(steps.argmin())
+        amounts[head] = np.maximum(amounts[head] + steps[gone] * way, 0.0)
+        rows, amounts = np.delete(rows, gone, axis=0), np.delete(amounts, gone)
+    kept = amounts > 1e-9
+    return np.rint(rows[kept]).astype(np.int64), amounts[kept]
 
 
 def top_up(counts: np.ndarray, lengths_down: np.ndarray, left: np.ndarray, room: int) -> int:
@@ -78,49 +168,58 @@ def top_up(counts: np.ndarray, lengths_down: np.ndarray, left: np.ndarray, room:
     return room
 
 
-def plan_fillings(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[Filling]:
-    """Fillings that use up the histogram exactly. Its size and the work depend on the capacity, not on the data."""
-    lengths = np.array(sorted((s for s in histogram if 0 < s <= capacity), reverse=True), np.int64)
+def _largest_first(lengths_down: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    fillings = []
+    while left.any():
+        counts = np.zeros(len(left), np.int64)
+        top_up(counts, lengths_down, left, capacity)
+        used = counts > 0
+        times = int((left[used] // counts[used]).min())
+        left -= times * counts
+        fillings.append((counts, times))
+    return fillings
+
+
+def _rounded(program: Program, lengths_down: np.ndarray, group: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+    """Fillings of whole containers after the program, largest amounts first: each takes the longest items left of its
+    classes, then whatever else fits. ``left`` (items left) goes down."""
+    fillings = []
+    for row, amount in sorted(zip(program.fillings, program.amounts, strict=True), key=lambda x: (-x[1], x[0].tolist())):
+        open_ = int(amount + 1e-9)
+        while open_ > 0:
+            counts = np.zeros(len(left), np.int64)
+            for c in np.flatnonzero(row):
+                want = int(row[c])
+                for at in np.flatnonzero((group == c) & (left > 0)):
+                    n = min(want, int(left[at]))
+                    counts[at] += n
+                    want -= n
+                    if not want:
+                        break
+            top_up(counts, lengths_down, left, capacity - int(counts @ lengths_down))
+            used = counts > 0
+            if not used.any():
+                break
+            times = min(open_, int((left[used] // counts[used]).min()))
+            left -= times * counts
+            open_ -= times
+            fillings.append((counts, times))
+    return fillings
+
+
+def plan_fillings(histogram: dict[int, int], capacity: int) -> list[Filling]:
+    """Fillings that use up the histogram exactly: the rounded program, or largest first where that takes fewer."""
+    lengths = np.array(sorted(s for s in histogram if 0 < s <= capacity), np.int64)
     if not len(lengths):
         return []
-    need = np.array([histogram[int(s)] for s in lengths], np.float64)
-    cover = np.zeros(len(lengths))
-    fractional: dict[tuple[int, ...], float] = {}
-    for _ in range(rounds):
-        open_ = cover < need - 1e-9
-        if not open_.any():
-            break
-        done = cover / need
-        price = (lengths / capacity) ** PREFER_LONG * np.exp(REACTION * (done[open_].mean() - done)) * open_
-        most = np.ceil(need - cover - 1e-9).astype(np.int64)
-        pattern = best_filling(lengths, price, most, capacity)
-        top_up(pattern, lengths, most, capacity - int(pattern @ lengths))
-        used = pattern > 0
-        if not used.any():
-            break
-        amount = min(STEP * (need[used] / pattern[used]).min(), ((need - cover)[used] / pattern[used]).min())
-        if (need[used] < 4).any():  # scarce lengths: whole steps
-            amount = ((need - cover)[used] / pattern[used]).min()
-        cover += amount * pattern
-        key = tuple(pattern.tolist())
-        fractional[key] = fractional.get(key, 0.0) + amount
-    left = need.astype(np.int64)
-    fillings: list[tuple[np.ndarray, int]] = []
-    for key, amount in sorted(fractional.items(), key=lambda x: (-x[1], x[0])):
-        pattern = np.array(key)
-        used = pattern > 0
-        times = min(int(np.ceil(amount - 1e-9)), int((left[used] // pattern[used]).min()))
-        if times > 0:
-            left -= times * pattern
-            fillings.append((pattern, times))
-    while left.any():
-        pattern = np.zeros(len(lengths), np.int64)
-        top_up(pattern, lengths, left, capacity)
-        used = pattern > 0
-        times = int((left[used] // pattern[used]).min())
-        left -= times * pattern
-        fillings.append((pattern, times))
-    return [Filling(tuple((int(lengths[i]), int(p[i])) for i in np.flatnonzero(p)), n) for p, n in fillings]
+    need = np.array([histogram[int(s)] for s in lengths], np.int64)
+    down, left = lengths[::-1], need[::-1].copy()
+    program = solve_program(lengths, need.astype(np.float64), capacity)
+    plans = [_rounded(program, down, size_classes(lengths, need.astype(np.float64))[::-1], left, capacity)]
+    plans[0] += _largest_first(down, left, capacity)
+    plans.append(_largest_first(down, need[::-1].copy(), capacity))
+    best = min(plans, key=lambda plan: sum(n for _, n in plan))
+    return [Filling(tuple((int(down[i]), int(p[i])) for i in np.flatnonzero(p)), n) for p, n in best]
 
 
 def slots_by_length(fillings: list[Filling]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -144,6 +243,25 @@ def item_pieces(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFra
     return pieces.select(key, F.col("piece_no").cast("int").alias("piece_no"), start.alias("token_start"), F.least(F.col(size) - start, F.lit(capacity)).alias("n_tokens"))
 
 
+def length_histogram(pieces: DataFrame) -> dict[int, int]:
+    """Pieces by length: at most capacity + 1 rows."""
+    return {int(r["n_tokens"]): int(r["n"]) for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
+
+
+def program_report(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+    """One row on how good the packing is: items, containers used, the value that the program was solved to, and the lower
+    bounds for any packing from the program's prices and from the tokens alone. An empty table gives zeros."""
+    histogram = length_histogram(item_pieces(sizes.where(F.col(size).isNotNull()).select(key, size), key, size, capacity))
+    lengths = np.array(sorted(s for s in histogram if s > 0), np.int64)
+    row = (sum(histogram.values()), 0, 0.0, 0, 0)
+    if len(lengths):
+        need = np.array([histogram[int(s)] for s in lengths], np.float64)
+        program = solve_program(lengths, need, capacity)
+        up = lambda x: int(np.ceil(x - 1e-6))
+        row = (row[0], sum(f.times for f in plan_fillings(histogram, capacity)), round(program.value, 4), up(program.bound), up(float(lengths @ need) / capacity))
+    return sizes.sparkSession.createDataFrame([row], "items bigint, containers bigint, program_value double, lower_bound bigint, volume_bound bigint")
+
+
 def numbered_within_length(pieces: DataFrame, key: str, total: int) -> DataFrame:
     """Each piece's number within its length, from 0, without bringing a length into one task: pieces are numbered in
     hash buckets of a length, and each bucket starts where the earlier ones of its length end."""
@@ -169,8 +287,7 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     gives an empty result. Which of several equally long items goes where is by hash and key, the same on every run.
     """
     pieces = cut(item_pieces(sizes.where(F.col(size).isNotNull()).select(key, size), key, size, capacity))
-    # At most capacity + 1 rows.
-    histogram = {int(r["n_tokens"]): int(r["n"]) for r in pieces.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
+    histogram = length_histogram(pieces)
     slots = slots_by_length(plan_fillings(histogram, capacity))
     kind = pieces.schema[key].dataType.simpleString()
 

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -37,6 +38,38 @@ def test_fillings_are_complete_and_tight(histogram, capacity, best):
     assert best <= sum(f.times for f in fillings) <= best + 1 + best // 50
 
 
+def sampled(sizes, items=20_000):
+    rng = random.Random(0)
+    return Counter(rng.choice(sizes) for _ in range(items))
+
+
+@pytest.mark.parametrize(
+    "histogram, capacity",
+    [(sampled([90, 130, 170, 210, 260, 310, 370, 440, 510]), 1000), (sampled(range(250, 501)), 1000), (sampled([334, 335, 600, 666, 200]), 1000), (sampled(range(1, 1001), 3000), 1000), ({520: 1000, 500: 1000}, 1024)],
+)
+def test_program_converges_and_rounding_keeps_to_it(histogram, capacity):
+    lengths = np.array(sorted(histogram))
+    need = np.array([histogram[int(s)] for s in lengths], float)
+    program = cp.solve_program(lengths, need, capacity)
+    group = cp.size_classes(lengths, need)
+    assert (program.amounts @ program.fillings >= np.bincount(group, need) * (1 - 1e-9)).all()  # every class is covered
+    assert (program.fillings @ program.classes <= capacity).all() and len(program.amounts) <= len(program.classes)
+    assert lengths @ need / capacity - 1e-6 <= program.bound <= program.value + 1e-6
+    used = sum(f.times for f in cp.plan_fillings(histogram, capacity))
+    largest_first = sum(n for _, n in cp._largest_first(lengths[::-1], need[::-1].astype(np.int64), capacity))
+    assert program.bound <= used <= min(largest_first, program.value + len(program.classes))
+    if len(lengths) <= 9:
+        assert program.value <= program.bound * 1.035
+
+
+def test_reduced_solution_costs_no_more():
+    rng = np.random.default_rng(0)
+    rows, amounts = rng.integers(0, 4, (60, 7)), rng.random(60)
+    fewer, left = cp.few_fillings(rows, amounts)
+    assert len(left) <= 7 and left.sum() <= amounts.sum() + 1e-9
+    assert np.allclose(left @ fewer, amounts @ rows)
+
+
 def packed(spark, rows, capacity):
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, n_tokens bigint, container_id string")
     return cp.pack(df, capacity).collect()

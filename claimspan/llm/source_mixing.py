@@ -62,19 +62,19 @@ def mix(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
             break
         bounds = sizes.sparkSession.createDataFrame(searched, f"{source} string, low bigint, high bigint")
         inside = hashed.join(F.broadcast(bounds), source).where((F.col("h") >= F.col("low")) & (F.col("h") < F.col("high")))
-        sums = inside.groupBy(source, F.shiftright("h", shift).alias("bucket")).agg(F.sum(size).alias("n"), F.count_distinct("h").alias("hashes")).collect()
+        sums = inside.groupBy(source, F.shiftright("h", shift).alias("bucket")).agg(F.sum(size).alias("n"), F.min("h").alias("least"), F.max("h").alias("most")).collect()
         by_source: dict[str, list] = {}
         for r in sums:
-            by_source.setdefault(r[source], []).append((int(r["bucket"]), int(r["n"]), int(r["hashes"])))
+            by_source.setdefault(r[source], []).append((int(r["bucket"]), int(r["n"]), r["least"] == r["most"]))
         for s, _, _ in searched:
             x = state[s]
-            for bucket, n, hashes in sorted(by_source.get(s, [])):
+            for bucket, n, one_hash in sorted(by_source.get(s, [])):
                 if x.taken + n <= x.budget:
                     x.taken += n
                     x.low = (bucket + 1) << shift
                     continue
                 x.low, x.high = bucket << shift, (bucket + 1) << shift
-                x.done = hashes == 1  # a single document or its repetitions: does not fit, so the threshold is its hash
+                x.done = one_hash  # a single document or its repetitions: does not fit, so the threshold is its hash
                 break
             else:  # all of it fits
                 x.done = True

@@ -4,8 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from claimspan.llm.canonical_copies import canonical_text, copies_of, copy_groups, record_tuples
-from claimspan.runtime import cut
+from claimspan.llm.canonical_copies import canonical_text, copies_of, decode, decode_deep, dictionary, distinct_records, numbered_records, record_pairs
 
 
 def plain_canon(text):
@@ -34,7 +33,7 @@ BODIES = ['{"a": 1, "b": [1, 2]}', '{"b":[1.0,2e0],"a":1}', '{"b": [2, 1], "a":
 
 def check(spark, rows, as_json):
     df = spark.createDataFrame(rows, "k bigint, v string, record string").repartition(3)
-    tuples = cut(record_tuples(df, "k", "v", as_json).select(F.lit("t").alias("table_name"), "*"))
+    records = numbered_records({"t": record_pairs(df, "k", "v", as_json)})
     groups = defaultdict(list)
     for k, v, _ in rows:
         if v and as_json:
@@ -47,8 +46,8 @@ def check(spark, rows, as_json):
         elif v and plain_canon(v):
             groups[plain_canon(v)].append(str(k))
     want = sorted((min(g), k) for g in groups.values() for k in g if k != min(g))
-    assert sorted((r.kept_key, r.copy_key) for r in copies_of(tuples).collect()) == want
-    assert sorted((r.kept_key, r.copies) for r in copy_groups(tuples).collect()) == sorted((min(g), len(g)) for g in groups.values())
+    assert sorted((r.kept_key, r.copy_key) for r in copies_of(records).collect()) == want
+    assert sorted((r.kept_key, r.copies) for r in distinct_records(records).collect()) == sorted((min(g), len(g)) for g in groups.values())
 
 
 def test_texts_and_edges(spark):
@@ -66,10 +65,40 @@ def test_canonical_text_is_the_rule():
             assert canonical_text(t) == plain_canon(t)
 
 
-def test_hot_group_goes_through_the_broadcast_join(spark, monkeypatch):
-    df = spark.range(30_000).select(F.lit("t").alias("table_name"), F.col("id").cast("string").alias("item_key"), F.expr("cast(if(id % 3 = 0, 'hot', cast(id div 2 as string)) as binary)").alias("record"))
-    rows = copies_of(cut(df))
-    assert rows.count() == 30_000 - df.select("record").distinct().count()
+def test_hot_group_goes_through_the_broadcast_join(spark):
+    text = F.expr("if(id % 3 = 0, 'hot', concat('text ', id div 2))")
+    df = spark.range(30_000).select(F.col("id").cast("string").alias("k"), text.alias("v"))
+    assert copies_of(numbered_records({"t": record_pairs(df, "k", "v")})).count() == 30_000 - df.select("v").distinct().count()
+
+
+def test_nesting_of_any_depth(spark):
+    deep = lambda x, n=50_000: '{"a": ' + "[" * n + x + "]" * n + "}"
+    rows = [(1, deep('"Hi!"')), (2, deep(' "hi" ')), (3, deep('"ho"')), (4, deep('"hi"', 49_999)), (5, deep('{"b": 1}')), (6, deep('{"b":1.0}')), (7, deep('"hi"')[:-1])]
+    df = spark.createDataFrame(rows, "k bigint, v string")
+    got = sorted(tuple(r)[1:] for r in copies_of(numbered_records({"t": record_pairs(df, "k", "v", True)})).collect())
+    assert got == [("1", "2"), ("5", "6")]
+
+
+def test_deep_decoder_is_the_same():
+    for body in [*BODIES, '{"a": {"b": [1, -2.5e3, true, null, "x\\n\\u00e9"], "a": {}}, "a": []}']:
+        if body and body != "{broken":
+            assert decode_deep(body) == decode(body)
+
+
+def test_dictionary_numbers_shared_pairs_only(spark):
+    rows = [(i, json.dumps({"a": i % 50, "b": i, "c": {"d": "Same!"}})) for i in range(200)]
+    records = numbered_records({"t": record_pairs(spark.createDataFrame(rows, "k bigint, v string"), "k", "v", True)})
+    found = dictionary(records).collect()
+    assert sorted(r.number for r in found) == list(range(1, 52)) and sorted(r.uses for r in found) == [4] * 50 + [200]
+    assert copies_of(records).count() == 0
+
+
+def test_many_fields_are_compared_as_tuples(spark):
+    wide = {f"field {i}": f"value {i % 7}" for i in range(400)}
+    other = wide | {"field 399": "value 1"}
+    rows = [(1, json.dumps(wide)), (2, json.dumps(dict(reversed(wide.items()))).upper().replace("FIELD", "field")), (3, json.dumps(other)), (4, json.dumps(other | {"more": None}))]
+    df = spark.createDataFrame(rows, "k bigint, v string")
+    assert [tuple(r)[1:] for r in copies_of(numbered_records({"t": record_pairs(df, "k", "v", True)})).collect()] == [("1", "2")]
 
 
 def test_whole_tables_against_brute_force(spark):

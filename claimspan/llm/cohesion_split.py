@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import zlib
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,8 @@ PIECES = "table_name string, item_key string, piece_no int, char_start bigint, c
 _ARROW = pa.schema(
     [("table_name", pa.string()), ("item_key", pa.string()), ("piece_no", pa.int32()), ("char_start", pa.int64()), ("char_end", pa.int64()), ("boundary", pa.string()), ("piece", pa.string())]
 )
-#: Sentences on each side of a gap that are compared, and the width of their hashed word vectors.
-BLOCK, WIDTH = 6, 256
+#: Sentences on each side of a gap that are compared, and how much deeper a line break counts than a sentence end.
+BLOCK, BREAK_DEPTH = 6, 0.1
 #: Rows handed on at once.
 ROWS_OUT = 256
 _SENTENCE_END = re.compile(r"(?:[.!?…।؟]+[\"'”’»)\]]*(?=\s)|[。！？]+[”’」』）]*|\n+)\s*")
@@ -35,33 +35,52 @@ def sentence_gaps(text: str) -> np.ndarray:
     return np.fromiter((m.end() for m in _SENTENCE_END.finditer(text)), np.int64)
 
 
+def word_weights(sentences: list[list[int]], words: int) -> list[int]:
+    """Weight of each word in products of bags: the squared logarithm of how rare it is among the text's sentences, so that
+    words of all topics count little. Whole numbers, so that sliding sums stay exact."""
+    within = [0] * words
+    for sentence in sentences:
+        for w in set(sentence):
+            within[w] += 1
+    return [1 + round(1000 * log((1 + len(sentences)) / n) ** 2) for n in within]
+
+
 def gap_depths(text: str, gaps: np.ndarray) -> np.ndarray:
     """How deep each gap lies in the curve of block similarity: the drop from the nearest peak on the left plus that
-    on the right. A paragraph break is a little deeper than a plain sentence end."""
-    edges = np.concatenate(([0], gaps, [len(text)]))
-    bags = np.zeros((len(edges) - 1, WIDTH), np.float32)
+    on the right. A paragraph break is a little deeper than a plain sentence end.
+
+    The words of the BLOCK sentences before and after a gap are kept as two bags that slide from gap to gap; what they
+    share and their sizes are updated word by word, so a text of any length takes linear time and little memory."""
+    edges = [0, *gaps.tolist(), len(text)]
     known: dict[str, int] = {}
-    starts = edges[:-1]
-    places, buckets = [], []
-    for m in _WORD.finditer(text):
-        word = m.group().lower()
-        at = known.get(word)
-        if at is None:
-            at = known[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WIDTH
-        buckets.append(at)
-        places.append(m.start())
-    if places:
-        owner = np.searchsorted(starts, np.array(places), "right") - 1
-        np.add.at(bags, (owner, np.array(buckets)), 1)
-    heaps = np.concatenate((np.zeros((1, WIDTH), np.float32), np.cumsum(bags, axis=0)))
-    at = np.arange(1, len(bags))
-    left = heaps[at] - heaps[np.maximum(at - BLOCK, 0)]
-    right = heaps[np.minimum(at + BLOCK, len(bags))] - heaps[at]
-    norm = np.sqrt((left**2).sum(1) * (right**2).sum(1))
-    similar = np.where(norm > 0, (left * right).sum(1) / np.maximum(norm, 1e-9), 0)
+    sentences = [[known.setdefault(m.group().lower(), len(known)) for m in _WORD.finditer(text, a, b)] for a, b in zip(edges, edges[1:], strict=False)]
+    weight = word_weights(sentences, len(known))
+    bags = ([0] * len(known), [0] * len(known))  # how often each word is in the block before, after the gap
+    shared, squares = 0, [0, 0]
+
+    def change(side: int, words: list[int], by: int) -> None:
+        nonlocal shared
+        mine, other = bags[side], bags[1 - side]
+        for w in words:
+            squares[side] += weight[w] * (by * 2 * mine[w] + 1)
+            shared += weight[w] * by * other[w]
+            mine[w] += by
+
+    for words in sentences[:BLOCK]:
+        change(1, words, 1)
+    similar = np.zeros(len(gaps))
+    for at in range(1, len(sentences)):
+        change(1, sentences[at - 1], -1)
+        change(0, sentences[at - 1], 1)
+        if at + BLOCK - 1 < len(sentences):
+            change(1, sentences[at + BLOCK - 1], 1)
+        if at > BLOCK:
+            change(0, sentences[at - 1 - BLOCK], -1)
+        norm = squares[0] * squares[1]
+        similar[at - 1] = shared / norm**0.5 if norm else 0.0
     depth = _climb(similar) + _climb(similar[::-1])[::-1]
     breaks = np.fromiter((text[max(g - 1, 0)] == "\n" for g in gaps), bool, len(gaps))
-    return depth + 0.1 * breaks
+    return depth + BREAK_DEPTH * breaks
 
 
 def _climb(curve: np.ndarray) -> np.ndarray:
@@ -75,8 +94,9 @@ def _climb(curve: np.ndarray) -> np.ndarray:
 
 
 def _hard_cut(text: str, low: int, high: int) -> int:
-    """The last place in (low, high] that parts no combining mark, joiner or variation selector from its letter."""
-    for at in range(high, max(low, high - 64), -1):
+    """The last place in (low, high] that parts no combining mark, joiner or variation selector from its letter; ``high``
+    if there is none, as in a cluster longer than a piece."""
+    for at in range(high, low, -1):
         if at == len(text) or not (unicodedata.category(text[at])[0] == "M" or "\u200d" in text[at - 1 : at + 1]):
             return at
     return high
@@ -84,8 +104,11 @@ def _hard_cut(text: str, low: int, high: int) -> int:
 
 def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """(start, end, how the end was chosen) of the pieces; each but the first starts ``overlap`` characters before the
-    end of the one before. The ways: topic (deepest valley in the upper half of the window), sentence (one in the
-    lower half), space (between words), none (an unbroken run), end."""
+    end of the one before.
+
+    The window of a piece is every place that ends it with something new and within the limit. The ways: topic (the
+    deepest valley in the window; of equally deep ones the last), sentence (no valley but sentence ends: the last),
+    space (between words, the last), none (an unbroken run), end."""
     if limit <= 0 or not 0 <= overlap < limit:
         raise ValueError("a limit above the overlap is needed")
     if len(text) <= limit:
@@ -95,25 +118,19 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]
     depth = gap_depths(text, gaps) if len(gaps) else np.zeros(0)
     pieces, start = [], 0
     while len(text) - start > limit:
-        fresh = start + overlap  # a cut before would repeat a whole piece
-        low, high = max(fresh, start + limit // 2), start + limit
-        end, how = 0, "none"
-        for least, name in ((low, "topic"), (fresh, "sentence")):
-            a, b = np.searchsorted(gaps, least, "right"), np.searchsorted(gaps, high, "right")
-            if a < b:
-                end, how = int(gaps[b - 1 - np.argmax(depth[a:b][::-1])]), name
-                break
+        fresh, high = start + overlap, start + limit  # a cut before ``fresh`` would repeat a whole piece
+        a, b = np.searchsorted(gaps, (fresh, high), "right")
+        last = None
+        if a < b:
+            at = b - 1 - int(np.argmax(depth[a:b][::-1]))
+            end, how = int(gaps[at]), "topic" if depth[at] > 0 else "sentence"
         else:
-            # between words, in the upper half of the window; else anywhere in it
-            for least in (low, fresh):
-                last = None
-                for last in _SPACE.finditer(text, least, high):
-                    pass
-                if last is not None and least < last.end() <= high:
-                    end, how = last.end(), "space"
-                    break
+            for last in _SPACE.finditer(text, fresh, high):
+                pass
+            if last is not None and last.end() > fresh:
+                end, how = last.end(), "space"
             else:
-                end = _hard_cut(text, fresh, high)
+                end, how = _hard_cut(text, fresh, high), "none"
         pieces.append((start, end, how))
         start = end - overlap
     return [*pieces, (start, len(text), "end")]

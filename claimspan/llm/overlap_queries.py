@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..runtime import table
-from .split_overlap import cross_split_pairs
+from .split_overlap import cross_split_pairs, overlap_counts
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,19 +14,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_overlap_report(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs, records concerned and pairs with equal words per split and reporting source."""
-    records = table(spark, folder, "averitec")
-    pairs = cross_split_pairs(records)
-    sources = records.select(F.col("record_id").alias("eval_id"), "reporting_source").distinct()
-    return (
-        pairs.join(sources, "eval_id")
-        .groupBy("eval_split", "reporting_source")
-        .agg(
-            F.count("*").alias("pairs"),
-            F.countDistinct("eval_id").alias("eval_records"),
-            F.countDistinct("train_id").alias("train_records"),
-            F.count_if(F.col("shared") == F.col("longest")).alias("equal_pairs"),
-        )
-    )
+    return overlap_counts(table(spark, folder, "averitec"), "reporting_source")
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_overlap_report)}

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, join_one_sided_hot
 
 #: At most one word in five may differ: shared words over the words of the longer statement.
 SHARE_NUMERATOR, SHARE_DENOMINATOR = 4, 5
@@ -86,11 +86,13 @@ def _needed(n: Column) -> Column:
 
 
 def statement_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (record_id, split, class_id) and one row per class of equal statements with its words, rarest first.
+    """Members (record_id, split, class_id) and one row per class of equal statements: its words, and ``items`` (df,
+    code, name_kind, place of the word), rarest first.
 
-    The class id is a 128-bit hash of the sorted words and the first word. Word statistics are over all records: how
-    many classes have the word (its rarity), and whether it is written as a name: never or seldom in lower case, and
-    in capitals where capitals tell something."""
+    The class id is a 128-bit hash of the sorted words and the first word. A word's code is its 64-bit hash; it stands for
+    the word wherever words are looked up or joined (two words of one code would only add a candidate). Statistics are
+    over all records: how many classes have the word (its rarity), and whether it is written as a name: never or seldom
+    in lower case, and in capitals where capitals tell something. Words of very many classes are looked up by broadcast."""
     words = F.array_join(F.array_sort("words"), "\x01")
     keyed = cut(rows.withColumn("class_id", F.unhex(F.md5(F.concat_ws("\x01", "first_word", words)))))
     members = keyed.select("record_id", "split", "class_id")
@@ -100,16 +102,16 @@ def statement_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.bool_or(known).alias("is_train"), F.bool_or(~known).alias("is_eval"), F.first("figures").alias("figures"), F.first("first_word").alias("first_word"), F.first("words").alias("words")
         )
     )
-    bare = lambda w: F.split_part(w, F.lit("\x00"), F.lit(1))
+    bare = lambda w: F.xxhash64(F.split_part(w, F.lit("\x00"), F.lit(1)))
     written = keyed.select(F.explode(F.arrays_zip("words", "written")).alias("w"))
     names = written.groupBy(bare(F.col("w.words")).alias("bare")).agg(F.count_if(F.col("w.written") == 1).alias("capital"), F.count_if(F.col("w.written") == 0).alias("lower"))
     name_kind = F.when(F.col("capital") > 2 * F.col("lower"), 2).when((F.col("capital") == 0) & (F.col("lower") == 0), 1).otherwise(0)
-    spread = single.select("class_id", F.explode("words").alias("word"))
-    frequent = spread.groupBy("word").agg(F.count("*").alias("df")).withColumn("bare", bare(F.col("word")))
-    looked_up = frequent.join(names.select("bare", name_kind.alias("name_kind")), "bare").drop("bare")
-    items = spread.join(looked_up, "word").groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "word", "name_kind"))).alias("items"))
-    classes = items.join(single.drop("words"), "class_id").withColumn("n", F.size("items"))
-    return members, classes
+    spread = single.select("class_id", F.posexplode("words").alias("at", "word")).select("class_id", "at", F.xxhash64("word").alias("code"), bare(F.col("word")).alias("bare"))
+    frequent = spread.groupBy("code", "bare").agg(F.count("*").alias("df"))
+    looked_up = cut(frequent.join(names.select("bare", name_kind.cast("tinyint").alias("name_kind")), "bare").drop("bare"))
+    found = join_one_sided_hot(spread.drop("bare"), looked_up, ["code"], "inner", "df")
+    items = found.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("df", "code", "name_kind", "at"))).alias("items"))
+    return members, items.join(single, "class_id").withColumn("n", F.size("items"))
 
 
 def candidate_classes(classes: DataFrame) -> DataFrame:
@@ -119,16 +121,16 @@ def candidate_classes(classes: DataFrame) -> DataFrame:
     length filter allows, so the filter is part of the equi-join and a word shared by very many statements still falls
     apart by figures and length. Equal statements are already one class, so no group of copies is paired here.
     """
-    prefix = F.posexplode(F.slice("items", F.lit(1), F.col("n") - _needed(F.col("n")) + 1)).alias("place", "item")
-    listed = lambda flag, name: classes.where(flag).select(F.col("class_id").alias(name), "figures", "n", prefix).select(name, "figures", "n", "place", F.col("item.word").alias("word"))
+    prefix = F.posexplode(F.slice("items.code", F.lit(1), F.col("n") - _needed(F.col("n")) + 1)).alias("place", "code")
+    listed = lambda flag, name: classes.where(flag).select(F.col("class_id").alias(name), F.xxhash64("figures").alias("figures"), "n", prefix)
     longest = F.floor(F.col("n") * SHARE_DENOMINATOR / SHARE_NUMERATOR).cast("int")
     evals = listed("is_eval", "eval_class").select(
-        "eval_class", "figures", "word", F.col("n").alias("eval_n"), F.col("place").alias("eval_place"), F.explode(F.sequence(_needed(F.col("n")), longest)).alias("n")
+        "eval_class", "figures", "code", F.col("n").alias("eval_n"), F.col("place").alias("eval_place"), F.explode(F.sequence(_needed(F.col("n")), longest)).alias("n")
     )
     trains = listed("is_train", "train_class")
     most = F.least(F.col("eval_n") - F.col("eval_place"), F.col("n") - F.col("place"))
     return (
-        evals.join(trains, ["word", "figures", "n"])
+        evals.join(trains, ["code", "figures", "n"])
         .where(most + F.least("eval_place", "place") >= _needed(F.greatest("eval_n", "n")))
         .select("eval_class", "train_class")
         .distinct()
@@ -151,7 +153,7 @@ def one_slip(a: str, b: str) -> bool:
 def same_names(only_a: list[tuple[str, int]], only_b: list[tuple[str, int]], first_a: str, first_b: str) -> bool:
     """Whether the words that only one side has are free of names. Each is (word, kind): 2 a name, 1 seen without
     evidence, 0 a common word. A misspelt word is paired off with its right form first. Two different first words
-    without evidence count as names, as does a Han character of those that write names by sound."""
+    without evidence count as names."""
     a = [(w.partition("\x00")[0], k) for w, k in only_a]
     b = [(w.partition("\x00")[0], k) for w, k in only_b]
     for x in list(a):
@@ -160,33 +162,54 @@ def same_names(only_a: list[tuple[str, int]], only_b: list[tuple[str, int]], fir
                 a.remove(x)
                 b.remove(y)
                 break
-    left = a + b
-    if any(k == 2 or w in NAME_CHARACTERS for w, k in left):
+    if any(k == 2 for _, k in a + b):
         return False
     return not ((first_a, 1) in a and (first_b, 1) in b)
 
 
+def left_over(words: list[str], items: list[dict], other: list[str]) -> list[tuple[str, int]]:
+    """(word, kind) of the words that the other side lacks. A Han character of those that write names by sound counts as a
+    name where its neighbour is one of them too: names have several, ordinary words seldom."""
+    others = set(other)
+    named = [w.partition("\x00")[0] in NAME_CHARACTERS for w in words]
+    out = []
+    for item in items:
+        at, kind = item["at"], item["name_kind"]
+        if words[at] not in others:
+            beside = named[at] and ((at > 0 and named[at - 1]) or (at + 1 < len(words) and named[at + 1]))
+            out.append((words[at], 2 if beside else kind))
+    return out
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        keep = [
-            same_names([(x["word"], x["name_kind"]) for x in a], [(x["word"], x["name_kind"]) for x in b], fa, fb)
-            for a, b, fa, fb in zip(batch["only_eval"], batch["only_train"], batch["eval_first"], batch["train_first"], strict=True)
-        ]
-        yield batch.loc[keep, ["eval_class", "train_class", "shared", "longest"]]
+        rows = []
+        for r in batch.itertuples(index=False):
+            e, t = list(r.eval_words), list(r.train_words)
+            shared, longest = len(set(e) & set(t)), max(len(e), len(t))
+            if shared * SHARE_DENOMINATOR < longest * SHARE_NUMERATOR or r.eval_figures != r.train_figures:
+                continue
+            if same_names(left_over(e, r.eval_items, t), left_over(t, r.train_items, e), r.eval_first_word, r.train_first_word):
+                rows.append((r.eval_class, r.train_class, shared, longest))
+        yield pd.DataFrame(rows, columns=["eval_class", "train_class", "shared", "longest"])
 
 
 def matching_classes(classes: DataFrame) -> DataFrame:
-    """(eval_class, train_class, shared, longest) of all pairs of classes that make the same statement."""
-    side = lambda name: classes.select(F.col("class_id").alias(f"{name}_class"), F.col("items").alias(f"{name}_items"), F.col("first_word").alias(f"{name}_first"))
-    both = candidate_classes(classes).join(side("eval"), "eval_class").join(side("train"), "train_class")
-    only = lambda one, other: F.filter(F.col(f"{one}_items"), lambda x: ~F.array_contains(F.col(f"{other}_items.word"), x["word"]))
-    compared = both.select(
-        "eval_class", "train_class", "eval_first", "train_first",
-        F.size(F.array_intersect("eval_items.word", "train_items.word")).alias("shared"),
-        F.greatest(F.size("eval_items"), F.size("train_items")).alias("longest"),
-        only("eval", "train").alias("only_eval"), only("train", "eval").alias("only_train"),
-    )
-    return compared.where(F.col("shared") >= _needed(F.col("longest"))).mapInPandas(_verify, "eval_class binary, train_class binary, shared int, longest int")
+    """(eval_class, train_class, shared, longest) of all pairs of classes that make the same statement.
+
+    Candidates meet the word codes alone first; only pairs that share enough of them meet the words."""
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return classes.select(F.col("class_id").alias(f"{name}_class"), *(F.col(c).alias(f"{name}_{c}") for c in columns))
+
+    coded = classes.select("class_id", F.col("items.code").alias("codes"))
+    of = lambda name: coded.select(F.col("class_id").alias(f"{name}_class"), F.col("codes").alias(f"{name}_codes"))
+    met = candidate_classes(classes).join(of("eval"), "eval_class").join(of("train"), "train_class")
+    enough = F.size(F.array_intersect("eval_codes", "train_codes")) >= _needed(F.greatest(F.size("eval_codes"), F.size("train_codes")))
+    near = cut(met.where(enough).select("eval_class", "train_class"))
+    columns = ("words", "items", "first_word", "figures")
+    both = near.join(side("eval", *columns), "eval_class").join(side("train", *columns), "train_class")
+    return both.mapInPandas(_verify, "eval_class binary, train_class binary, shared int, longest int")
 
 
 def cross_split_pairs(records: DataFrame) -> DataFrame:
@@ -205,3 +228,22 @@ def cross_split_pairs(records: DataFrame) -> DataFrame:
         F.least("eval_id", "train_id").alias("record_id_a"), F.greatest("eval_id", "train_id").alias("record_id_b"),
         "eval_id", "train_id", "eval_split", "shared", "longest",
     )
+
+
+def overlap_counts(records: DataFrame, by: str) -> DataFrame:
+    """(eval_split, by, pairs, eval_records, train_records, equal_pairs) of the same pairs, counted from the sizes of the
+    classes: no pair of records is listed. ``by`` is a column of ``records``; record ids are taken as unique."""
+    members, classes = statement_classes(statements(records))
+    matched = cut(matching_classes(cut(classes)))
+    sources = records.select(F.col("record_id").cast("bigint").alias("record_id"), by).distinct()
+    evals = members.where(F.col("split") != "train").distinct().join(sources, "record_id").groupBy(F.col("class_id").alias("eval_class"), F.col("split").alias("eval_split"), by).agg(F.count("*").alias("n_eval"))
+    trains = members.where(F.col("split") == "train").distinct().groupBy(F.col("class_id").alias("train_class")).agg(F.count("*").alias("n_train"))
+    met = matched.join(evals, "eval_class").join(trains, "train_class")
+    pairs = F.col("n_eval") * F.col("n_train")
+    group = ["eval_split", by]
+    sums = met.groupBy(*group).agg(F.sum(pairs).alias("pairs"), F.sum(F.when(F.col("shared") == F.col("longest"), pairs).otherwise(0)).alias("equal_pairs"))
+    of_evals = met.select(*group, "eval_class", "n_eval").distinct().groupBy(*group).agg(F.sum("n_eval").alias("eval_records"))
+    of_trains = met.select(*group, "train_class", "n_train").distinct().groupBy(*group).agg(F.sum("n_train").alias("train_records"))
+    same = lambda other: F.col("s.eval_split").eqNullSafe(F.col(f"{other}.eval_split")) & F.col(f"s.{by}").eqNullSafe(F.col(f"{other}.{by}"))
+    joined = sums.alias("s").join(of_evals.alias("e"), same("e")).join(of_trains.alias("t"), same("t"))
+    return joined.select("s.eval_split", f"s.{by}", "pairs", "eval_records", "train_records", "equal_pairs")

@@ -54,3 +54,27 @@ def test_words_are_normalised():
     assert words == ["elan", "paid", "12345", "6", "to", "1234", "people", "in", "1984"] or figures
     assert so.one_slip("federal", "fedral") and so.one_slip("were", "weer") and not so.one_slip("bank", "council")
     assert so.statement_words("价格为63.6亿元")[2] == ["63.6"]
+
+
+def test_han_names_differ_and_common_characters_do_not():
+    items = lambda words: [{"at": i, "name_kind": 0} for i in range(len(words))]
+    one, name, common = list("因为泽维堡的价格上涨"), list("因为泽瓦堡的价格上涨"), list("由为泽维堡的价格上涨")
+    assert (("维", 2) in so.left_over(one, items(one), name)) and ("瓦", 2) in so.left_over(name, items(name), one)
+    assert so.left_over(one, items(one), common) == [("因", 0)]
+
+
+def test_counts_from_class_sizes_are_those_of_the_pairs(spark):
+    rng = random.Random(8)
+    texts = [BASE, BASE.upper(), BASE.replace("rejected the", "rejectd"), BASE.replace("Kastholm", "Berglund"), "Other words about the harbour were said in 1999."]
+    rows = [(i, rng.choice(["train", "dev", "test"]), rng.choice(texts), rng.choice(["a", "b", None])) for i in range(60)]
+    df = spark.createDataFrame(rows, "record_id bigint, split string, claim string, origin string")
+    origin = {r[0]: r[3] for r in rows}
+    want: dict = {}
+    for r in so.cross_split_pairs(df).collect():
+        held = want.setdefault((r.eval_split, origin[r.eval_id]), [0, set(), set(), 0])
+        held[0] += 1
+        held[1].add(r.eval_id)
+        held[2].add(r.train_id)
+        held[3] += r.shared == r.longest
+    got = {(r.eval_split, r.origin): (r.pairs, r.eval_records, r.train_records, r.equal_pairs) for r in so.overlap_counts(df, "origin").collect()}
+    assert got == {k: (n, len(e), len(t), q) for k, (n, e, t, q) in want.items()} and len(got) > 3

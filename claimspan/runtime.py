@@ -54,6 +54,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that was read as fewer parts than there are cores is dealt out to all of them before heavy work; any
+    other is left as it is. Only for scans and what follows them without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def shared_folder(spark: SparkSession) -> None:
     """Use the cluster's checkpoint folder; only on one machine (tests), where none is set, make one.
 

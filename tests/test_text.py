@@ -1,6 +1,7 @@
 """Goldens of the text functions, on literal rows."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -145,6 +146,65 @@ def test_search_pipeline(spark):
     assert R.bm25(queries, corpus.limit(0), 3).count() == 0
 
 
+def test_stored_index_filters_and_blocks(spark, tmp_path, monkeypatch):
+    corpus = spark.createDataFrame([(*r, {"topic": "x" if r[0] % 2 else "y"}) for r in CORPUS], "doc_id int, text string, source string, metadata map<string,string>")
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(["cats hunt prey", "lions", "", None, "houses and cats", "zebra"])], "query_id int, query string")
+    index = R.build_index(corpus, keep=("source", "metadata"))
+    R.write_index(index, str(tmp_path))
+    stored, frequencies = R.read_index(spark, str(tmp_path))
+    rows = lambda df: sorted(tuple(r) for r in df.select("query_id", "doc_id", "score", "rank").collect())
+    whole = rows(R.bm25(queries, corpus, 3))
+    assert rows(R.search_index(queries, stored, 3, frequencies=frequencies)) == whole
+    monkeypatch.setattr(R, "QUERY_BLOCK", 2)
+    assert rows(R.search_index(queries, index, 3)) == whole
+    scores = {(q, d): s for q, d, s, _ in whole}
+    for filters, kept in (({"source": "A"}, {1, 6}), ({"topic": "y"}, {6}), ({"source": "A", "topic": "x"}, {1}), ({"source": None}, {1, 3, 6})):
+        got = rows(R.search_index(queries.where("query_id = 0"), index, 3, filters=filters))
+        assert {d for _, d, _, _ in got} == kept and all(scores[q, d] == s for q, d, s, _ in got)  # statistics are unfiltered
+    with pytest.raises(ValueError):
+        R.search_index(queries, R.build_index(corpus), 3, filters={"source": "A"})
+    counted = {(r.token, r.doc_id): (r.tf, r.dl) for r in R.postings(index).collect()}
+    assert counted["lions", 3] == (2, 10) and len({d for _, d in counted}) == 4
+    assert {r.token: (r.df, r.total) for r in R.token_frequencies(index).collect()}["lions"] == (1, 2)
+
+
+def test_many_documents_against_plain_bm25(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(rng.choices(words, weights=range(60, 0, -1), k=rng.randint(0, 40))) for _ in range(700)]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(5)
+    asked = [" ".join(rng.choices(words, k=6)) for _ in range(7)]
+    got = {(r.query_id, r["rank"]): (r.doc_id, r.score) for r in R.bm25(spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), corpus, 5).collect()}
+    tokens = [t.split() for t in texts]
+    mean, df = sum(map(len, tokens)) / 700, {w: sum(w in t for t in tokens) for w in words}
+    raw = {w: np.log((700 - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    idf = {w: x if x >= 0 else 0.25 * np.mean(list(raw.values())) for w, x in raw.items()}
+    for q, query in enumerate(asked):
+        score = [sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in query.split()) if t else 0.0 for t in tokens]
+        want = sorted(((-np.floor(s * 1e4 + 0.5) / 1e4, d) for d, s in enumerate(score) if set(tokens[d]) & set(query.split())))[:5]
+        assert [(d, pytest.approx(-s, abs=1e-4)) for s, d in want] == [got[q, k] for k in range(1, 6)]
+
+
+def test_pipeline_modes_and_records(spark):
+    rows = [(1, "Cats hunt small prey such as mice.", "A", "Cats"), (2, "Dogs are loyal animals that guard houses.", "B", "Dogs"), (3, "Lions are big cats that hunt prey in groups.", "C", "Lions")]
+    documents = spark.createDataFrame([(*r, f"202{r[0]}-01-01") for r in rows], "doc_id int, text string, source string, title string, published_at string")
+    queries = spark.createDataFrame([(7, "cats hunt prey")], "query_id int, query string")
+    index, vectors = R.build_index(documents), R.hash_vectors(documents)
+    for mode in ("hybrid", "bm25", "dense"):
+        got = R.retrieve(queries, documents, index, vectors, 2, mode, per_source=1).orderBy("rank").collect()
+        assert [r["rank"] for r in got] == [1, 2] and got[0].title in ("Cats", "Lions") and got[0].source != got[1].source
+    recent = R.retrieve(queries, documents, index, vectors, 2, "bm25", rerank=False, prefer_recent=True).collect()
+    assert {r.title for r in recent} == {"Cats", "Lions"}
+    assert R.retrieve(queries, documents, index, vectors, 2, diverse=False, rerank=False).count() == 2
+    (record,) = R.evidence_records(got and R.retrieve(queries, documents, index, vectors, 2), "toy").collect()
+    assert record.sample_id == "7" and [c["rank"] for c in record.retrieved_chunks] == [1, 2]
+    chunk = record.retrieved_chunks[0]
+    assert chunk.source_medium in "AC" and chunk.metadata["title"] in ("Cats", "Lions") and chunk.metadata["dataset"] == "toy"
+    with pytest.raises(ValueError):
+        R.retrieve(queries, documents, index, vectors, mode="other")
+    assert R.retrieve(queries.limit(0), documents, index, vectors, 2).count() == 0
+
+
 def test_exact_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(0)
     vectors = rng.normal(size=(300, 8)).round(3)

@@ -47,6 +47,7 @@ def candidate_pairs(
     query_lexical: float | None = None,
     allow_empty_entities: bool = True,
     least_embedding: float | None = None,
+    indexed: bool = False,
 ) -> DataFrame:
     """Pairs of claims of one sample: (sample, ord_a, ord_b, claim_a_id, claim_b_id, text_a, text_b, role_a, role_b,
     entity_overlap, lexical), and embedding if ``least_embedding`` is set.
@@ -55,8 +56,11 @@ def candidate_pairs(
     on a side pass if allowed), lexical similarity, and the cosine of the texts' hash vectors, which every pair passes
     where no ``least_embedding`` is set. cascade wants all three, union lexical similarity and one of the other two; so
     union always contains cascade, and without ``least_embedding`` it is the lexical stage alone. Tokens and vectors are
-    computed once a claim; the join is on the sample, whose claims come from one record, so no group grows with the
-    table. The cosine, to six places, is computed for pairs that pass the lexical stage."""
+    computed once a claim. The cosine, to six places, is computed for pairs that pass the lexical stage.
+
+    All pairs of a sample are formed on the sample key, which suits samples of one query and a few chunks; with
+    ``indexed`` pairs are found through the index of ``shared_tokens`` instead, which suits samples of many claims (and a
+    whole corpus as one sample). Both give the same pairs; the index needs a lexical threshold above 0."""
     if mode not in ("cascade", "union"):
         raise ValueError(f"unknown mode {mode!r}")
     base = computed(claims.select(sample, "ord", "claim_id", "text", "role", F.coalesce("entities", F.array().cast("array<string>")).alias("entities")), tokens=T.token_set(F.col("text")))
@@ -66,7 +70,11 @@ def candidate_pairs(
         base = hash_vectors(base.select(F.struct(sample, *columns).alias("claim"), "text"), key="claim").select("claim.*", "vector")
         columns = [*columns, "vector"]
     side = lambda x: base.select(sample, *(F.col(c).alias(f"{c}_{x}") for c in columns))
-    pairs = side("a").join(side("b"), sample).where("ord_a < ord_b")
+    if indexed:
+        least = least_lexical if query_lexical is None else min(least_lexical, query_lexical)
+        pairs = shared_tokens(base, sample, least).join(side("a"), [sample, "ord_a"]).join(side("b"), [sample, "ord_b"])
+    else:
+        pairs = side("a").join(side("b"), sample).where("ord_a < ord_b")
     scored = pairs.withColumn("lexical", T.jaccard(F.col("tokens_a"), F.col("tokens_b"))).withColumn("entity_overlap", T.size_of_common(F.col("entities_a"), F.col("entities_b")))
     crossing = F.array_sort(F.array(F.lower(F.trim("role_a")), F.lower(F.trim("role_b")))) == F.array(F.lit("query"), F.lit("retrieved_evidence"))
     floor = F.lit(least_lexical) if query_lexical is None else F.when(F.coalesce(crossing, F.lit(False)), query_lexical).otherwise(least_lexical)
@@ -81,6 +89,25 @@ def candidate_pairs(
     return near.where(entity_ok & embedding_ok if mode == "cascade" else entity_ok | embedding_ok).select(*out)
 
 
+def shared_tokens(claims: DataFrame, sample: str, least: float) -> DataFrame:
+    """(sample, ord_a, ord_b), each once: claims of one sample whose tokens may have a Jaccard similarity of ``least``.
+
+    Two sets of n and m tokens with similarity t share ceil(t * n) of the first, so with any common order of tokens
+    their first n - ceil(t * n) + 1 and m - ceil(t * m) + 1 have one in common. Rarest first, so frequent tokens seldom
+    stand in front; the lengths must allow the similarity too. ``claims``: (sample, ord, tokens), ord unique."""
+    if not 0 < least <= 1:
+        raise ValueError("the index needs a lexical threshold above 0")
+    words = claims.select(sample, "ord", F.explode("tokens").alias("token"))
+    frequency = words.groupBy(sample, "token").agg(F.count("*").alias("df"))
+    ordered = words.join(frequency, [sample, "token"]).groupBy(sample, "ord").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("items"))
+    n = F.size("items")
+    front = F.slice("items", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)
+    listed = ordered.select(sample, "ord", n.alias("n"), F.explode(front).alias("item")).select(sample, "ord", "n", F.col("item.token").alias("token"))
+    side = lambda x: listed.select(sample, "token", F.col("ord").alias(f"ord_{x}"), F.col("n").alias(f"n_{x}"))
+    met = side("a").join(side("b"), [sample, "token"]).where((F.col("ord_a") < F.col("ord_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9))
+    return met.select(sample, "ord_a", "ord_b").distinct()
+
+
 def heuristic_scores(text_a: Column, text_b: Column, lexical: Column) -> Column:
     """struct<entailment, contradiction, neutral> by the first rule that holds. All rules are symmetric, so the mean over
     both directions is the same."""

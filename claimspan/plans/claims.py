@@ -14,6 +14,10 @@ from ..runtime import computed, table
 from . import sql as S
 
 
+#: Resamples of the bootstrap.
+RESAMPLES = 10_000
+
+
 def claims_sentence(spark: SparkSession, folder: str) -> DataFrame:
     chunks = C.chunk_inputs(table(spark, folder, "retrieval_json"), "row_id")
     return C.sentence_claims(chunks, "row_id").select("row_id", "chunk_ord", "sent_no", "role", "text", F.size("entities").alias("n_entities"), "subject", "time", "polarity", "certainty")
@@ -32,6 +36,11 @@ def block_union(spark: SparkSession, folder: str) -> DataFrame:
     return C.candidate_pairs(_claims(spark, folder), mode="union", allow_empty_entities=False).select("sample_id", "ord_a", "ord_b", "entity_overlap", "lexical")
 
 
+def block_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs of block_cascade, found through the token index."""
+    return C.candidate_pairs(_claims(spark, folder), indexed=True).select("sample_id", "ord_a", "ord_b", "entity_overlap", "lexical")
+
+
 def nli_heuristic(spark: SparkSession, folder: str) -> DataFrame:
     labelled = C.label_pairs(C.candidate_pairs(_claims(spark, folder)))
     return labelled.select("sample_id", "ord_a", "ord_b", "label", *(F.col(f"scores.{x}").alias(x) for x in V.NLI_LABELS))
@@ -143,19 +152,41 @@ def evaluate_baselines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
-    """95 % interval of the macro-F1 of the recorded predictions, 200 resamples."""
-    samples = M.bootstrap(_scored(spark, folder), 200, "sample_id", ["predicted"])
+    """95 % interval of the macro-F1 of the recorded predictions."""
+    samples = M.bootstrap(_scored(spark, folder), RESAMPLES, ["predicted"])
     return M.interval(samples, "f1_predicted")
 
 
+def _compared(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "benchmark_rows")
+    label = lambda c: T.scored_label(F.col(c))
+    return rows.select(
+        "sample_id", F.coalesce(label("gold_label"), F.lit("neutral")).alias("gold"), label("predicted_label").alias("recorded"), T.keyword_label(F.coalesce("query", F.lit(""))).alias("keywords"), F.lit("neutral").alias("constant")
+    )
+
+
 def paired_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     """Recorded predictions against the keyword heuristic: mean difference and share of resamples where it is not above 0."""
-    rows = table(spark, folder, "benchmark_rows")
-    scored = rows.select("sample_id", F.coalesce(T.scored_label(F.col("gold_label")), F.lit("neutral")).alias("gold"), T.scored_label(F.col("predicted_label")).alias("recorded"), T.keyword_label(F.coalesce("query", F.lit(""))).alias("keywords"))
-    delta = M.bootstrap(scored, 200, "sample_id", ["recorded", "keywords"]).withColumn("delta", F.col("f1_recorded") - F.col("f1_keywords"))
+    delta = M.bootstrap(_compared(spark, folder), RESAMPLES, ["recorded", "keywords"]).withColumn("delta", F.col("f1_recorded") - F.col("f1_keywords"))
     return delta.agg(F.round(F.avg("delta"), 4).alias("mean_delta"), (F.count_if(F.col("delta") <= 0) / F.count("*")).alias("p_value"))
 
 
+def mode_significance(spark: SparkSession, folder: str) -> DataFrame:
+    """Every way of predicting against the constant one."""
+    return M.significance(_compared(spark, folder), "constant", ["recorded", "keywords"], iterations=RESAMPLES)
+
+
+def score_averages(spark: SparkSession, folder: str) -> DataFrame:
+    return M.averages(_scored(spark, folder))
+
+
+def missing_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold rows that have no recorded label."""
+    rows = table(spark, folder, "benchmark_rows")
+    predictions = rows.where("predicted_label is not null").select(F.lit("recorded").alias("baseline"), "sample_id")
+    return M.unaligned(rows.select("sample_id"), predictions)
+
+
 def coverage_by_dataset(spark: SparkSession, folder: str) -> DataFrame:
     """Share of rows with a cross-source pair and with a decisive result, per dataset and over all (rollup)."""
     rows = table(spark, folder, "benchmark_rows")
@@ -169,7 +200,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         claims_sentence, block_cascade, block_union, nli_heuristic, retention_sweep, ensemble, temperature, threshold_grid, best_pairs, claim_fill_rates, claim_shapes, conflict_types,
-        type_counts, fusion, conflict_summary, source_media, confusion, prf_by_label, macro_f1, evaluate_baselines, bootstrap_ci, paired_bootstrap, coverage_by_dataset,
+        type_counts, fusion, conflict_summary, source_media, confusion, prf_by_label, macro_f1, evaluate_baselines, bootstrap_ci, paired_bootstrap, mode_significance, score_averages, missing_predictions, block_indexed, coverage_by_dataset,
     )
 }
 
@@ -202,11 +233,18 @@ def _macro(gold: str = "gold", pred: str = "predicted") -> str:
     return f"round(({f1('entailment')} + {f1('contradiction')} + {f1('neutral')}) / 3, 6)::double"
 
 
+def _f1_sql(x: str, gold: str = "gold", pred: str = "predicted") -> str:
+    tp, fp, fn = (f"count(*) filter (where {t})" for t in (f"{gold} = '{x}' and {pred} = '{x}'", f"{gold} <> '{x}' and {pred} = '{x}'", f"{gold} = '{x}' and {pred} is distinct from '{x}'"))
+    return f"round(case when 2 * {tp} + {fp} + {fn} > 0 then 2.0 * {tp} / (2 * {tp} + {fp} + {fn}) else 0.0 end, 6)::double"
+
+
 _LABEL = "case when e >= c and e >= n then 'entailment' when c >= n then 'contradiction' else 'neutral' end"
 
 ORACLES = {
     "block_cascade": f"with {_PAIRS} select sample_id, ord_a, ord_b, entity_overlap, lexical from p where lexical >= 0.1 and {_CASCADE}",
-    "block_union": f"with {_PAIRS} select sample_id, ord_a, ord_b, entity_overlap, lexical from p where lexical >= 0.1 and entity_overlap >= 1",
+    # Lexical similarity and (entities or embedding), where the embedding stage passes as no threshold is set.
+    "block_union": f"with {_PAIRS} select sample_id, ord_a, ord_b, entity_overlap, lexical from p where lexical >= 0.1",
+    "block_indexed": f"with {_PAIRS} select sample_id, ord_a, ord_b, entity_overlap, lexical from p where lexical >= 0.1 and {_CASCADE}",
     "nli_heuristic": f"""with {_nli_sql(0.1)} select sample_id, ord_a, ord_b, ['entailment', 'contradiction', 'contradiction', 'entailment', 'neutral'][rule] as label,
         [0.76, 0.08, 0.08, 0.82, 0.1][rule]::double as entailment, [0.12, 0.78, 0.82, 0.08, 0.1][rule]::double as contradiction, [0.12, 0.14, 0.1, 0.1, 0.8][rule]::double as neutral from n""",
     "retention_sweep": f"""with {_nli_sql(0.05)} select threshold::double as threshold, ['entailment', 'contradiction', 'contradiction', 'entailment', 'neutral'][rule] as label, count(*) as pairs
@@ -230,6 +268,20 @@ ORACLES = {
           count(*) filter (where gold = label and predicted is distinct from label) as fn from s, l where label is not null group by label)
         select label, case when tp + fp > 0 then round(tp::double / (tp + fp), 6) else 0.0 end as precision, case when tp + fn > 0 then round(tp::double / (tp + fn), 6) else 0.0 end as recall,
           round(case when 2 * tp + fp + fn > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0.0 end, 6)::double as f1, tp + fn as support from k""",
+    "score_averages": f"""with {_SCORED}, l as (select distinct unnest([gold, predicted]) as label from s),
+        k as (select label, count(*) filter (where gold = label and predicted is not distinct from label) as tp, count(*) filter (where gold is distinct from label and predicted = label) as fp,
+          count(*) filter (where gold = label and predicted is distinct from label) as fn from s, l where label is not null group by label),
+        m as (select label, case when tp + fp > 0 then round(tp::double / (tp + fp), 6) else 0.0 end as p, case when tp + fn > 0 then round(tp::double / (tp + fn), 6) else 0.0 end as r,
+          round(case when 2 * tp + fp + fn > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0.0 end, 6)::double as f, tp + fn as n from k)
+        select round((select avg((gold is not distinct from predicted)::int) from s), 4)::double as accuracy, round(avg(p), 4) as macro_precision, round(avg(r), 4) as macro_recall, round(avg(f), 4) as macro_f1,
+          round(sum(f * n) / sum(n), 4)::double as weighted_f1, (select count(*) from s) as support from m""",
+    "missing_predictions": "select distinct 'recorded' as baseline, sample_id from benchmark_rows where sample_id not in (select sample_id from benchmark_rows where predicted_label is not null)",
+    "evaluate_baselines": f"""with b as (select sample_id, coalesce({S.scored_label('gold_label')}, 'neutral') as gold, coalesce(query, '') as query, {S.scored_label('predicted_label')} as recorded from benchmark_rows),
+        w as (select *, regexp_extract_all(lower(query), '[a-z'']+') as ws from b),
+        q as (select 'recorded' as baseline, gold, recorded as predicted from w union all select 'constant', gold, 'neutral' from w union all
+          select 'keywords', gold, case when list_has_any(ws, {S.strings(V.KEYWORDS_REFUTE)}) then 'contradiction' when list_has_any(ws, {S.strings(V.KEYWORDS_SUPPORT)}) then 'entailment' else 'neutral' end from w)
+        select baseline, (select count(*) from b) as support, count(*) as aligned, {_f1_sql("contradiction")} as contradiction_f1, {_macro()} as macro_f1,
+          round(count(*) filter (where predicted is null)::double / count(*), 6) as abstention_rate, 0.0::double as missing_rate from q group by baseline""",
     "coverage_by_dataset": """select dataset, count(*) as rows, count(*) filter (where cross_source_pair_count > 0) as with_pair,
         count(*) filter (where len(list_filter(coalesce(cross_source_nli_results, []), lambda r: r.label <> 'neutral')) > 0) as decisive, sum(claim_count)::bigint as claims from benchmark_rows group by rollup (dataset)""",
 }

@@ -30,6 +30,19 @@ def test_blocking_modes(spark):
         C.candidate_pairs(df, mode="other")
 
 
+def test_index_finds_the_same_pairs(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(rng.choice("st"), i, str(i), " ".join(rng.choices(words, weights=range(40, 0, -1), k=rng.randint(0, 9))), rng.choice(["query", "retrieved_evidence"]), rng.sample(["A", "B", "C"], rng.randint(0, 2))) for i in range(120)]
+    df = spark.createDataFrame(rows, CLAIM)
+    for least, asked in ((0.1, None), (0.4, None), (0.5, 0.2)):
+        found = [sorted((r.sample_id, r.ord_a, r.ord_b, r.lexical) for r in C.candidate_pairs(df, least_lexical=least, query_lexical=asked, indexed=x).collect()) for x in (False, True)]
+        assert found[0] == found[1] and found[0]
+    assert C.candidate_pairs(df.limit(0), indexed=True).count() == 0
+    with pytest.raises(ValueError):
+        C.candidate_pairs(df, least_lexical=0.0, indexed=True)
+
+
 def test_blocking_embedding_stage(spark):
     texts = ["Alice approved the harbour plan", "Alice did not approve the harbour plan", "Bob sold the harbour plan", "harbour plan", None, "unrelated words"]
     entities = [["Alice"], ["Alice"], ["Bob"], [], None, ["Alice"]]
@@ -152,14 +165,26 @@ def test_scores_and_intervals(spark):
     pairs = [(g := rng.choice(labels), g if rng.random() < 0.7 else rng.choice([*labels, None])) for _ in range(300)]
     df = spark.createDataFrame([(i, g, p, p) for i, (g, p) in enumerate(pairs)], "id int, gold string, predicted string, other string")
     assert abs(df.agg(*M.f1_columns("gold", "predicted")).first().macro_f1 - plain_macro(pairs)) < 1e-6
-    low, high = M.interval(M.bootstrap(df, 100, "id", ["predicted"]), "f1_predicted").first()
+    low, high = M.interval(M.bootstrap(df, 1000, ["predicted"]), "f1_predicted").first()
     assert low < plain_macro(pairs) < high
-    twin = M.bootstrap(df, 20, "id", ["predicted", "other"]).where("f1_predicted <> f1_other")
+    plain = sorted(plain_macro(rng.choices(pairs, k=300)) for _ in range(1000))  # rows resampled one by one
+    assert abs(plain[25] - low) < 0.02 and abs(plain[975] - high) < 0.02
+    compared = df.withColumn("constant", F.lit("neutral"))
+    (r,) = M.significance(compared, "constant", ["predicted"], iterations=400).collect()
+    assert r.low < r.delta < r.high and r.p_value < 0.001 and r.stars == "***"
+    assert M.bootstrap(df.limit(0), 5, ["predicted"]).where("f1_predicted = 0").count() == 5
+    twin = M.bootstrap(df, 20, ["predicted", "other"]).where("f1_predicted <> f1_other")
     assert twin.count() == 0
     gold = df.select(F.col("id").cast("string").alias("sample_id"), "gold")
     predictions = df.select(F.lit("b").alias("baseline"), F.col("id").cast("string").alias("sample_id"), "predicted", F.lit(0).alias("order")).where("id < 200")
     r = M.evaluate(gold, predictions.unionByName(predictions.limit(5).withColumn("order", F.lit(-1)))).first()
     assert r.aligned == 200 and r.missing_rate == round(1 / 3, 6)
+    assert {(x.baseline, x.sample_id) for x in M.unaligned(gold, predictions).collect()} == {("b", str(i)) for i in range(200, 300)}
+    with pytest.raises(Exception, match="too few aligned"):
+        M.evaluate(gold, predictions, least_aligned=0.9).collect()
+    a = M.averages(df).first()
+    assert a.support == 300 and abs(a.macro_f1 - plain_macro(pairs)) < 1e-3 and abs(a.accuracy - sum(g == p for g, p in pairs) / 300) < 1e-4
+    assert tuple(M.averages(df.limit(0)).first()) == (0.0, 0.0, 0.0, 0.0, 0.0, 0)
     assert M.per_label(df).count() == 3 and M.evaluate(gold.limit(0), predictions.limit(0)).count() == 0
 
 

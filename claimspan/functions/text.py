@@ -212,3 +212,35 @@ def answer_sentence(question: Column, answer: Column) -> Column:
     said = said.otherwise(F.concat(F.lit("The answer to "), asked, F.lit(" is "), clean, F.lit(".")))
     usable = (clean != "") & ~F.lower(F.trim(answer)).isin(*V.NO_ANSWER) & (asked != "")
     return F.when(usable, said)
+
+
+def word_set(text: Column) -> Column:
+    """Distinct words of letters, figures and underscores, lower case."""
+    return F.array_distinct(F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(_WORD_RUN), F.lit(0)), empty()))
+
+
+def first_tokens(text: Column, n: int) -> Column:
+    """The first n pieces between white space, joined by spaces; a null text is empty."""
+    return F.array_join(F.slice(F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != ""), 1, n), " ")
+
+
+def model_input(claim: Column, evidence: Column, n: int = 256) -> Column:
+    """Claim and evidence as one input of a pair model, evidence cut to n tokens."""
+    return F.concat(F.trim(F.coalesce(claim, F.lit(""))), F.lit(" [SEP] "), first_tokens(evidence, n))
+
+
+def without_negation(text: Column) -> Column:
+    """The text without its negating words, in the order of the rest."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    bare = lambda w: F.regexp_replace(F.lower(w), "[^a-z']", "")
+    return F.array_join(F.filter(words, lambda w: ~bare(w).isin(*V.KEYWORDS_REFUTE)), " ")
+
+
+def json_object(text: Column) -> Column:
+    """What lies between the first { and the last } of a text, brackets included; null without them."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def cache_key(**parts: Column) -> Column:
+    """SHA-256 of the parts as a JSON object with sorted names; null parts are left out of it."""
+    return F.sha2(F.to_json(F.struct(*(parts[name].alias(name) for name in sorted(parts)))), 256)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,21 @@ def role_direction(role_a: Column, role_b: Column) -> Column:
     )
 
 
+def lexical_stance(claim: Column, evidence: Column) -> Column:
+    """struct<stance, score> without a model: evidence (its first three sentences) that covers less than a tenth of the
+    claim's words is filtered, other evidence supports or opposes as the heuristic inference says."""
+    from .claims import heuristic_scores, top_label
+
+    seen = T.first_sentences(evidence, 3)
+    asked, said = T.token_set(claim), T.token_set(seen)
+    scores = heuristic_scores(claim, seen, T.jaccard(asked, said))
+    label = top_label(scores)
+    near = T.coverage(asked, said)
+    stance = F.when(near < 0.1, "filtered").when(label == "entailment", "support").when(label == "contradiction", "oppose").otherwise("neutral")
+    score = F.when(near < 0.1, 1 - near).otherwise(F.greatest(scores["entailment"], scores["contradiction"], scores["neutral"]))
+    return F.when(claim.isNotNull() & evidence.isNotNull(), F.struct(stance.alias("stance"), score.alias("score")))
+
+
 def fuse(stance: Column, score: Column, nli: Column) -> Column:
     """struct<signal, confidence>. A score of 0 counts as not given, as everywhere in this scheme."""
     s = F.when(stance == "support", "agreement").when(stance == "oppose", "conflict").when(stance == "neutral", "neutral").when(stance == "filtered", "unrelated").otherwise("")
@@ -207,9 +223,13 @@ def type_conflicts(pairs: DataFrame) -> DataFrame:
     return four.withColumn("policy", F.element_at(policies, F.col("conflict_type"))).drop("_same", "_gap", "_larger", "_lexical", "_source", "_times", "_numbers", "_subjects", "_wide", "_base", "_kind")
 
 
-def typed_pairs(payloads: DataFrame, key: str = "payload_id") -> DataFrame:
+def typed_pairs(payloads: DataFrame, key: str = "payload_id", stance: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """One row per candidate pair of each payload with NLI label, signal and conflict type.
 
+    ``stance`` gives struct<stance, score> from the texts of the claim and the evidence side (see lexical_stance; a model can
+    be put in as a pandas UDF); without it only the NLI label makes the signal. A pair with a side missing has no stance and
+    is inconclusive.
+
     Claims, pairs and results are joined by (payload, id); of repeated claim ids or results the last in the array counts.
     Null ids and ids without claim leave a side missing."""
     claims = payloads.select(key, F.posexplode("claims").alias("ord", "c")).where("c.claim_id is not null")
@@ -218,15 +238,24 @@ def typed_pairs(payloads: DataFrame, key: str = "payload_id") -> DataFrame:
         key, "claim_id", "c.text", "c.subject", "c.time",
         *(F.col(f"c.source_metadata.{n}").alias(n) for n in ("role", "source_url", "source_medium", "reporting_source", "claim_date", "question", "authority")),
     )
-    known = claim_features(flat).select(key, "claim_id", "role", "features")
+    known = claim_features(flat).select(key, "claim_id", "role", "text", "features")
     results = payloads.select(key, F.posexplode("nli_results").alias("ord", "r")).select(key, "ord", "r.*").groupBy(key, "claim_a_id", "claim_b_id").agg(F.max_by("label", "ord").alias("nli_label"))
     pairs = payloads.select(key, F.posexplode("candidate_pairs").alias("pair_no", "p")).select(key, "pair_no", "p.claim_a_id", "p.claim_b_id")
-    side = lambda x: known.select(key, F.col("claim_id").alias(f"claim_{x}_id"), F.col("role").alias(f"role_{x}"), F.col("features").alias(f"features_{x}"))
+    side = lambda x: known.select(key, F.col("claim_id").alias(f"claim_{x}_id"), F.col("role").alias(f"role_{x}"), F.col("text").alias(f"text_{x}"), F.col("features").alias(f"features_{x}"))
     joined = pairs.join(results, [key, "claim_a_id", "claim_b_id"], "left").join(side("a"), [key, "claim_a_id"], "left").join(side("b"), [key, "claim_b_id"], "left")
-    fused = computed(joined, fused=fuse(F.lit(None).cast("string"), F.lit(None).cast("double"), F.col("nli_label")))
+    direction = role_direction(F.col("role_a"), F.col("role_b"))
+    if stance is None:
+        held = joined.withColumn("_stance", F.lit(None).cast("struct<stance: string, score: double>"))
+    else:
+        swapped = direction == "b_as_claim"
+        sides = computed(joined, _claim=F.when(swapped, F.col("text_b")).otherwise(F.col("text_a")), _evidence=F.when(swapped, F.col("text_a")).otherwise(F.col("text_b")))
+        held = computed(sides, _stance=F.when(F.col("features_a").isNotNull() & F.col("features_b").isNotNull(), stance(F.col("_claim"), F.col("_evidence"))))
+    whole = F.col("features_a").isNotNull() & F.col("features_b").isNotNull()
+    nothing = F.struct(F.lit("inconclusive").alias("signal"), F.lit(0.0).alias("confidence"))
+    fused = computed(held, fused=F.when(whole, fuse(F.col("_stance.stance"), F.col("_stance.score"), F.col("nli_label"))).otherwise(nothing))
     typed = type_conflicts(fused.withColumn("signal", F.col("fused.signal")))
     return typed.select(
-        key, "pair_no", "claim_a_id", "claim_b_id", "nli_label", role_direction(F.col("role_a"), F.col("role_b")).alias("direction"), "signal",
+        key, "pair_no", "claim_a_id", "claim_b_id", "nli_label", F.col("_stance.stance").alias("stance"), direction.alias("direction"), "signal",
         F.col("fused.confidence").alias("fusion_confidence"), "conflict_type", "confidence", "policy", "rule",
     )
 

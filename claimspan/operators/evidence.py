@@ -76,6 +76,44 @@ def rank_sentences(rows: DataFrame, headline: str, body: str, out: str = "ranked
     return best.withColumn(out, F.array_sort(F.transform("_sentences", scored))).drop("_variants", "_sentences", "_head", "_best")
 
 
+def best_sentence(rows: DataFrame, headline: str, body: str, out: str = "sentence") -> DataFrame:
+    """Adds the sentence of the body that ranks first; where its score is below .12 the first sentence, where there is none
+    the body."""
+    ranked = rank_sentences(rows, headline, body, "_ranked")
+    sentences = T.sentences_plain(F.col(body))
+    top = F.try_element_at("_ranked", F.lit(1))
+    chosen = F.when(top["score"] < 0.12, F.try_element_at(sentences, F.lit(1))).otherwise(F.try_element_at(sentences, top["position"] + 1))
+    return ranked.withColumn(out, F.coalesce(chosen, F.trim(F.coalesce(body, F.lit(""))))).drop("_ranked")
+
+
+def evidence_span(rows: DataFrame, headline: str, body: str, n: int = 2, out: str = "span") -> DataFrame:
+    """Adds the first window of n sentences with the largest sum of ranking scores plus .25 coverage and .15 Jaccard of the
+    window as a whole; the leading window where that is below .2 or shares no word with the headline. Shorter bodies are
+    taken whole."""
+    ranked = rank_sentences(rows, headline, body, "_ranked")
+    parts = computed(
+        ranked,
+        _said=T.sentences_plain(F.col(body)),
+        _by_place=F.map_from_entries(F.transform("_ranked", lambda r: F.struct(r["position"], r["score"]))),
+        _asked=T.token_set(F.col(headline), V.STOPWORDS_HEADLINE),
+    )
+    window = lambda i: F.array_join(F.slice("_said", i + 1, F.lit(n)), " ")
+    starts = F.when(F.size("_said") > n, F.sequence(F.lit(0), F.size("_said") - n)).otherwise(F.array().cast("array<int>"))
+    worded = computed(parts, _windows=F.transform(starts, lambda i: F.struct(i.alias("start"), T.token_set(window(i), V.STOPWORDS_HEADLINE).alias("tokens"))))
+
+    def scored(w: Column) -> Column:
+        summed = F.aggregate(F.sequence(w["start"], w["start"] + (n - 1)), F.lit(0.0), lambda total, i: total + F.coalesce(F.try_element_at("_by_place", i), F.lit(0.0)))
+        asked, tokens = F.col("_asked"), w["tokens"]
+        cover = F.when(F.size(tokens) == 0, 0.0).otherwise(T.coverage(asked, tokens))
+        return F.struct((summed + 0.25 * cover + 0.15 * T.jaccard(asked, tokens)).alias("score"), (-w["start"]).alias("back"), T.size_of_common(asked, tokens).alias("shared"))
+
+    best = computed(worded, _best=F.array_max(F.transform("_windows", scored)))
+    top = F.col("_best")
+    start = F.when((top["score"] < 0.2) | (top["shared"] == 0), F.lit(0)).otherwise(-top["back"])
+    span = F.when(F.size("_said") == 0, F.trim(F.coalesce(body, F.lit("")))).when(F.size("_said") <= n, F.array_join("_said", " ")).otherwise(window(start))
+    return best.withColumn(out, span).drop("_ranked", "_said", "_by_place", "_asked", "_windows", "_best")
+
+
 def _relevances(rows: DataFrame, claim: str, body: str) -> DataFrame:
     """Adds _tokens (of each sentence) and _each (its lexical relevance to the claim)."""
     tokens = computed(

@@ -268,6 +268,21 @@ ORACLES = {
           count(*) filter (where gold = label and predicted is distinct from label) as fn from s, l where label is not null group by label)
         select label, case when tp + fp > 0 then round(tp::double / (tp + fp), 6) else 0.0 end as precision, case when tp + fn > 0 then round(tp::double / (tp + fn), 6) else 0.0 end as recall,
           round(case when 2 * tp + fp + fn > 0 then 2.0 * tp / (2 * tp + fp + fn) else 0.0 end, 6)::double as f1, tp + fn as support from k""",
+    "temperature": f"""with {_RESULTS}, t as (select unnest([0.5, 0.75, 1.0, 1.25, 1.5, 2.0, 3.0, 5.0]) as temperature),
+        a as (select *, greatest(e, 0) + greatest(c, 0) + greatest(n, 0) as s from r), b as (select gold, case when s > 0 then greatest(e, 0) / s else 1 / 3.0 end as e, case when s > 0 then greatest(c, 0) / s else 1 / 3.0 end as c,
+          case when s > 0 then greatest(n, 0) / s else 1 / 3.0 end as n from a),
+        p as (select temperature::double as temperature, gold, pow(greatest(e, 1e-12), 1 / temperature) as e, pow(greatest(c, 1e-12), 1 / temperature) as c, pow(greatest(n, 1e-12), 1 / temperature) as n from b, t),
+        l as (select temperature, round(sum(-ln(greatest(round((case gold when 'entailment' then e when 'contradiction' then c else n end) / (e + c + n), 6), 1e-12))), 6) as loss from p group by temperature)
+        select temperature from l order by loss, temperature limit 1""",
+    "claim_shapes": rf"""with c as (select sample_id, trim(coalesce(c.text, '')) as t, c.relation is null and c.object is null as bare from (select sample_id, unnest(claims) as c from benchmark_rows)),
+        k as (select *, len(regexp_extract_all(t, '[A-Za-z0-9]+')) as n from c)
+        select sample_id, count(*) as claims, count(*) filter (where bare and n < 8 and (regexp_matches(t, '^[^\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{Lm}}\p{{N}}]') or (not regexp_matches(t, '[.!?]$') and t <> '') or regexp_matches(t, '-(LRB|RRB|LSB|RSB)-') or n < 4)) as broken,
+          count(*) filter (where bare and n <= 4) as entity_only from k group by sample_id""",
+    "fusion": f"""with {S.SIGNALS}, ro as (select payload_id, c.claim_id as claim_id, arg_max_null(lower(trim(c.source_metadata.role)), i) as role from (select payload_id, unnest(claims) as c, unnest(range(len(claims))) as i from p1_payload) where c.claim_id is not null group by all),
+        d as (select s.*, coalesce(list_contains({S.strings(V.CLAIM_ROLES)}, ra.role), false) as ac, coalesce(list_contains({S.strings(V.CLAIM_ROLES)}, rb.role), false) as bc, coalesce(list_contains({S.strings(V.EVIDENCE_ROLES)}, ra.role), false) as ae,
+          coalesce(list_contains({S.strings(V.EVIDENCE_ROLES)}, rb.role), false) as be from sig s left join ro ra on ra.payload_id = s.payload_id and ra.claim_id = s.a left join ro rb on rb.payload_id = s.payload_id and rb.claim_id = s.b)
+        select nli_label, case when ac and not bc then 'a_as_claim' when bc and not ac then 'b_as_claim' when ae and not be then 'b_as_claim' when be and not ae then 'a_as_claim' else 'bidirectional' end as direction, signal,
+          count(*) as pairs from d group by all""",
     "score_averages": f"""with {_SCORED}, l as (select distinct unnest([gold, predicted]) as label from s),
         k as (select label, count(*) filter (where gold = label and predicted is not distinct from label) as tp, count(*) filter (where gold is distinct from label and predicted = label) as fp,
           count(*) filter (where gold = label and predicted is distinct from label) as fn from s, l where label is not null group by label),

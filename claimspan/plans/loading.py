@@ -71,6 +71,8 @@ ORACLES = {
         union all select record_id || ':justification', null, null, trim(justification) from averitec where trim(coalesce(justification, '')) <> ''""",
     "answers_as_chunks": f"""with {_CHUNKS} select record_id::varchar as sample_id, claim as query, case label {_MAP} else 'neutral' end as label, record_id || ':q' || q_no || ':a' || a_no as chunk_id,
         answer as text, rank, round(1.0 / rank, 4)::double as retrieval_score from k""",
+    "load_corpus": """select doc_id::varchar as doc_id, 'generic' as dataset, nullif(trim(lang), '') as language, length(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(trim(text), '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')), 'x^', ''))::int as chars,
+        topic_key from documents where doc_id is not null and trim(coalesce(text, '')) <> ''""",
     "payload_rejects": """with c as (select *, coalesce(claims, []) as cl, list_concat(list_transform(coalesce(candidate_pairs, []), lambda p: p.claim_a_id is null or p.claim_b_id is null),
           list_transform(coalesce(nli_results, []), lambda p: p.claim_a_id is null or p.claim_b_id is null)) as loose from p1_payload),
         i as (select *, list_transform(cl, lambda x: x.claim_id) as ids from c),

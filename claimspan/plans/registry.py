@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of this package with QUERIES and ORACLES.
-MODULES = ("integrity", "nested", "texts", "search", "passages", "claims", "loading", "structure", "reports")
+MODULES = ("integrity", "nested", "texts", "search", "passages", "claims", "loading", "structure", "reports", "rollups")
 
 
 def core_queries() -> dict:

@@ -124,6 +124,9 @@ ORACLES = {
     "query_buckets": f"with {_QUERIES} select sample_id, bucket from b",
     "query_taxonomy": f"""with {_QUERIES} select t.bucket as bucket, count(b.sample_id) as rows, count(*) filter (where b.decisive) as decisive
         from (select unnest({S.strings(D.BUCKETS)}) as bucket) t left join b on b.bucket = t.bucket group by t.bucket""",
+    "evidence_clusters": f"""with {S.SIGNALS}, s as (select payload_id, pair_no, 0 as side, a as claim_id, signal from sig union all select payload_id, pair_no, 1, b, signal from sig),
+        f as (select payload_id, claim_id, arg_min(signal, (pair_no, side)) as signal from s where claim_id is not null group by all)
+        select payload_id, case signal when 'agreement' then 'support' when 'conflict' then 'oppose' else 'neutral' end as cluster, count(*) as claims from f group by all""",
     "label_crosstab": """select dataset, count(*) filter (where r.label = 'entailment') as entailment, count(*) filter (where r.label = 'contradiction') as contradiction,
         count(*) filter (where r.label = 'neutral') as neutral from (select dataset, unnest(cross_source_nli_results) as r from benchmark_rows) group by dataset""",
     "relevance_gate": f"""select row_id, count(*) as chunks, count(*) filter (where len(kq) = 0 or list_has_any(kq, kt)) as relevant from (

@@ -56,3 +56,13 @@ def scored_label(raw: str) -> str:
     low = f"lower(trim({raw}))"
     cases = " ".join(f"when list_contains({strings(names)}, {low}) then {'null' if label is None else repr(label)}" for label, names in V.LABEL_ALIASES.items())
     return f"(case {cases} else {low} end)"
+
+
+#: sig: the pairs of p1_payload with their label and the signal that it makes.
+SIGNALS = """pid as (select distinct payload_id, claim.claim_id as claim_id from (select payload_id, unnest(claims) as claim from p1_payload) where claim.claim_id is not null),
+res as (select payload_id, r.claim_a_id as a, r.claim_b_id as b, arg_max_null(r.label, i) as nli_label from (select payload_id, unnest(nli_results) as r, unnest(range(len(nli_results))) as i from p1_payload) group by all),
+prs as (select payload_id, i::int as pair_no, p.claim_a_id as a, p.claim_b_id as b from (select payload_id, unnest(candidate_pairs) as p, unnest(range(len(candidate_pairs))) as i from p1_payload)),
+sig as (select p.*, nli_label, case when ca.claim_id is null or cb.claim_id is null then 'inconclusive' when nli_label = 'entailment' then 'agreement' when nli_label = 'contradiction' then 'conflict'
+    when nli_label = 'neutral' then 'neutral' else 'inconclusive' end as signal
+  from prs p left join res on res.payload_id = p.payload_id and res.a = p.a and res.b = p.b left join pid ca on ca.payload_id = p.payload_id and ca.claim_id = p.a
+  left join pid cb on cb.payload_id = p.payload_id and cb.claim_id = p.b)"""

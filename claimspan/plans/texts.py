@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
-from ..runtime import table
+from ..operators import retrieval as R
+from ..runtime import spread, table
 from . import sql as S
 
 
@@ -27,9 +28,7 @@ def tok_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 def token_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     """Document and total frequency of every index token."""
-    tokens = table(spark, folder, "documents").select(F.explode(T.token_list(F.col("text"))).alias("token"), "doc_id")
-    per_document = tokens.groupBy("token", "doc_id").agg(F.count("*").alias("tf"))
-    return per_document.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("total"))
+    return R.token_frequencies(spread(table(spark, folder, "documents").select("text")).select(T.token_list(F.col("text")).alias("tokens")))
 
 
 def sentences_t2(spark: SparkSession, folder: str) -> DataFrame:
@@ -103,6 +102,13 @@ def _answer_sentence_sql() -> str:
         select record_id, q_no, a_no, case when {usable} then case {' '.join(cases)} else 'The answer to ' || asked || ' is ' || clean || '.' end end as sentence from c"""
 
 
+def _decoded_sql(text: str) -> str:
+    out = f"replace({text}, '_', ' ')"
+    for old, new in V.MARKUP:
+        out = "replace({}, '{}', '{}')".format(out, old.replace("'", "''"), new.replace("'", "''"))
+    return out
+
+
 ORACLES = {
     "tok_sets": f"""select doc_id, len({S.token_set("text")})::int as blocking, len({S.token_set("text", V.STOPWORDS_EVIDENCE)})::int as evidence,
         len({S.token_set("text", V.STOPWORDS_HEADLINE)})::int as headline, len({S.token_list("text")})::int as listed,
@@ -116,6 +122,9 @@ ORACLES = {
         and case when trim(question) like '%?' then list_contains({S.strings(V.QUESTION_PREFIXES)}, {_FIRST}) else {_FIRST} = 'why' end""",
     "polarity_certainty": f"""select record_id, {S.polarity("claim")} as polarity,
         case when {S.has(S.letter_words("claim"), V.UNCERTAIN_HINTS)} then 0.45 when {S.has(S.letter_words("claim"), V.NEGATIVE_HINTS)} then 0.7 else 0.85 end::double as certainty from averitec""",
+    "markup_decode": rf"""with c as (select row_id, i::int as "at", c.text as text from (select row_id, unnest(retrieved_chunks) as c, unnest(range(len(retrieved_chunks))) as i from retrieval_json)),
+        d as (select row_id, "at", {_decoded_sql("text")} as t from c)
+        select row_id, "at", trim(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) as text from d""",
     "keyword_labels": f"""select record_id, case when list_has_any(w, {S.strings(V.KEYWORDS_REFUTE)}) then 'contradiction'
         when list_has_any(w, {S.strings(V.KEYWORDS_SUPPORT)}) then 'entailment' else 'neutral' end as label
         from (select record_id, regexp_extract_all(lower(claim), '[a-z'']+') as w from averitec)""",

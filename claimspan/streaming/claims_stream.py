@@ -12,7 +12,7 @@ from ..operators import claims as C
 def labelled_pairs(retrieval: DataFrame, sample: str = "row_id") -> DataFrame:
     """Claims, candidate pairs and labels of retrieval records, all in one plan."""
     claims = C.sentence_claims(C.chunk_inputs(retrieval, sample), sample)
-    ordered = claims.withColumn("ord", (F.col("chunk_ord") * 100_000 + F.col("sent_no")).cast("long"))
+    ordered = claims.withColumn("ord", F.struct("chunk_ord", "sent_no"))
     pairs = C.label_pairs(C.candidate_pairs(ordered, sample))
     return pairs.select(sample, "claim_id_a", "claim_id_b", "lexical", "label")
 

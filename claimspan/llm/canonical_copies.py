@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.structural_json import CLOSE_ARRAY, CLOSE_OBJECT, OPEN_ARRAY, OPEN_OBJECT, SCALAR, STRING, StructuralIndex
-from ..runtime import cut, join_one_sided_hot
+from ..runtime import cut, join_one_sided_hot, spread
 
 RECORDS = "item_key string, pairs array<struct<pair: binary, proof: bigint>>"
 _PAIR = pa.struct([("pair", pa.binary()), ("proof", pa.int64())])
@@ -211,7 +211,7 @@ def record_pairs(rows: DataFrame, key: str, value: str, as_json: bool = False) -
     """RECORDS of the rows whose value leaves something: null, empty and mark-only texts give none, nor do bodies that are
     not one JSON object; nesting may be of any depth. Narrow: no shuffle."""
     return (
-        rows.where(F.col(value).isNotNull() & F.col(key).isNotNull())
+        spread(rows.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(key, value))
         .select(F.col(key).cast("string").alias("item_key"), F.col(value).alias("value"))
         .mapInArrow(_json_records if as_json else _text_records, RECORDS)
     )

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import spread, table
 from .sentence_units import fit_on, sentence_units
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = table(spark, folder, "retrieval_json").select("row_id", F.posexplode("retrieved_chunks.text").alias("at", "text"))
-    questions = table(spark, folder, "averitec").select("record_id", F.posexplode("questions.answers").alias("q", "answers"))
+    chunks = spread(table(spark, folder, "retrieval_json").select("row_id", "retrieved_chunks")).select("row_id", F.posexplode("retrieved_chunks.text").alias("at", "text"))
+    questions = spread(table(spark, folder, "averitec").select("record_id", "questions")).select("record_id", F.posexplode("questions.answers").alias("q", "answers"))
     answers = questions.select("record_id", "q", F.posexplode("answers.answer").alias("at", "text"))
     return chunks.select(F.lit("retrieval_json").alias("table_name"), F.concat_ws("/", "row_id", "at").alias("item_key"), "text").unionByName(
         answers.select(F.lit("averitec").alias("table_name"), F.concat_ws("/", "record_id", "q", "at").alias("item_key"), "text")

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import table
+from ..runtime import spread, table
 from .cohesion_split import split_oversized
 
 FIELDS = {"document_records": "document_records.full_text", "retrieval_json": "retrieval_json.retrieved_chunks.text"}
 
 
 def _pieces(spark: SparkSession, folder: str) -> DataFrame:
-    records = table(spark, folder, "document_records").select(F.lit("document_records").alias("table_name"), F.col("doc_id").alias("item_key"), F.col("full_text").alias("text"))
+    records = spread(table(spark, folder, "document_records").select("doc_id", "full_text")).select(F.lit("document_records").alias("table_name"), F.col("doc_id").alias("item_key"), F.col("full_text").alias("text"))
     chunks = (
-        table(spark, folder, "retrieval_json")
+        spread(table(spark, folder, "retrieval_json").select("row_id", "retrieved_chunks"))
         .select("row_id", F.posexplode("retrieved_chunks.text").alias("at", "text"))
         .select(F.lit("retrieval_json").alias("table_name"), F.concat_ws("/", "row_id", "at").alias("item_key"), "text")
     )

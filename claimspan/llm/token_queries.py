@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import cut, table
+from ..runtime import cut, spread, table
 from .container_packing import pack, program_report
 from .source_mixing import mix, share_report
 from .token_sizes import token_sizes
@@ -17,7 +17,7 @@ def _capacity(spark: SparkSession, folder: str) -> int:
 
 
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = token_sizes(table(spark, folder, "documents").select("doc_id", "text"))
+    sizes = token_sizes(spread(table(spark, folder, "documents").select("doc_id", "text")))
     return pack(sizes, _capacity(spark, folder))
 
 
@@ -32,12 +32,12 @@ def p7_fill_report(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_program(spark: SparkSession, folder: str) -> DataFrame:
     """Containers used against the value of the program and the lower bounds."""
-    sizes = token_sizes(table(spark, folder, "documents").select("doc_id", "text"))
+    sizes = token_sizes(spread(table(spark, folder, "documents").select("doc_id", "text")))
     return program_report(sizes, _capacity(spark, folder))
 
 
 def _mixed(spark: SparkSession, folder: str) -> DataFrame:
-    sizes = token_sizes(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    sizes = token_sizes(spread(table(spark, folder, "documents").select("doc_id", "source", "text")))
     return mix(sizes, table(spark, folder, "mix_targets"))
 
 

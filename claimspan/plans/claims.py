@@ -10,7 +10,7 @@ from ..functions import vocab as V
 from ..operators import claims as C
 from ..operators import conflict as K
 from ..operators import metrics as M
-from ..runtime import computed, table
+from ..runtime import computed, spread, table
 from . import sql as S
 
 
@@ -19,7 +19,7 @@ RESAMPLES = 10_000
 
 
 def claims_sentence(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = C.chunk_inputs(table(spark, folder, "retrieval_json"), "row_id")
+    chunks = C.chunk_inputs(spread(table(spark, folder, "retrieval_json").select("row_id", "query", "retrieved_chunks")), "row_id")
     return C.sentence_claims(chunks, "row_id").select("row_id", "chunk_ord", "sent_no", "role", "text", F.size("entities").alias("n_entities"), "subject", "time", "polarity", "certainty")
 
 

@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from ..functions import vocab as V
 from ..operators import chunking as C
 from ..operators import evidence as E
-from ..runtime import table
+from ..runtime import spread, table
 from . import sql as S
 
 
 def chunks_v1(spark: SparkSession, folder: str) -> DataFrame:
-    return C.window_chunks(table(spark, folder, "documents"))
+    return C.window_chunks(spread(table(spark, folder, "documents").select("doc_id", "text")))
 
 
 def chunks_v2(spark: SparkSession, folder: str) -> DataFrame:
-    return C.sentence_chunks(table(spark, folder, "documents"), least_tokens=12)
+    return C.sentence_chunks(spread(table(spark, folder, "documents").select("doc_id", "text")), least_tokens=12)
 
 
 def _pairs(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "retrieval_json").select("row_id", "query", F.posexplode("retrieved_chunks.text").alias("chunk_no", "text"))
+    rows = spread(table(spark, folder, "retrieval_json").select("row_id", "query", "retrieved_chunks")).select("row_id", "query", F.posexplode("retrieved_chunks.text").alias("chunk_no", "text"))
     return rows.select("row_id", "chunk_no", "query", F.coalesce("text", F.lit("")).alias("text"))
 
 

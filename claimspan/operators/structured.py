@@ -9,34 +9,61 @@ from pyspark.ml.feature import IDF, HashingTF, NGram, SQLTransformer, StringInde
 from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
 from ..runtime import computed
 
-_HINTS = "|".join(sorted(V.RELATION_HINTS, key=lambda w: (-len(w), w)))
-_QUOTED = r"\"[^\"]{2,}\"|“[^”]{2,}”|‘[^’]{2,}’"
+_QUOTED = r"(?<![\p{L}\p{N}_])'[^']{2,}'(?![\p{L}\p{N}_])|\"[^\"]{2,}\"|“[^”]{2,}”|‘[^’]{2,}’"
+_WORD = r"[\p{L}\p{N}_]+"
+_CONTRACTED = r"(?<![\p{L}\p{N}_])(?:" + "|".join(pattern for pattern, _ in V.CONTRACTIONS) + r")(?![\p{L}\p{N}_])"
 _FRINGE = r"^[\s,:;-]+|[\s,:;.!?-]+$"
 
 
+def found_relation(text: Column) -> Column:
+    """struct<relation, word>: the relation that a text states and the wording that shows it; null without one.
+
+    Of every hint only the first place in the text counts; a place outside quotations goes before one inside, then the
+    earliest wins. Contractions ("isn't", "it's") and "not dead" stand for their verb and are never taken as quoted."""
+    low = F.lower(text)
+    parts = F.coalesce(F.regexp_extract_all(low, F.lit(f"{_CONTRACTED}|{_QUOTED}|{_WORD}"), F.lit(0)), T.empty())
+    place = lambda word, quoted: F.struct(word.alias("word"), quoted.alias("quoted"))
+    words = F.flatten(
+        F.transform(
+            parts,
+            lambda p: F.when(p.rlike(f"^(?:{_QUOTED})$"), F.transform(F.regexp_extract_all(p, F.lit(_WORD), F.lit(0)), lambda w: place(w, F.lit(True)))).otherwise(F.array(place(p, F.lit(False)))),
+        )
+    )
+    hints = F.filter(words, lambda w: w["word"].isin(*V.RELATION_HINTS) | w["word"].rlike(f"^(?:{_CONTRACTED})$"))
+    once = F.transform(F.array_distinct(F.transform(hints, lambda w: w["word"])), lambda w: F.filter(hints, lambda x: x["word"] == w)[0])
+    chosen = F.coalesce(F.try_element_at(F.filter(once, lambda w: ~w["quoted"]), F.lit(1)), F.try_element_at(once, F.lit(1)))["word"]
+    verb = chosen
+    for pattern, name in V.CONTRACTIONS:
+        verb = F.when(chosen.rlike(f"^{pattern}$"), name).otherwise(verb)
+    return F.when(chosen.isNotNull(), F.struct(verb.alias("relation"), chosen.alias("word")))
+
+
 def structured_slots(claims: DataFrame, text: str = "text") -> DataFrame:
     """Adds subject, relation, object, qualifier (each null where the rule finds none) and ``full`` (all three slots).
 
-    The relation is the first hint word outside quotations, else the first inside one. The subject is the last run of
-    capitalised words before it, else up to five words before it. The object is what follows, up to a clause that says
-    how or when. The qualifier is what stands before a colon, or up to six words before the first comma. Native, one row
-    in, one row out; null and empty texts have null slots."""
+    The relation is found_relation's. The subject is the last run of capitalised words before it, else up to five words
+    before it. The object is what follows, up to a clause that says how or when ("not dead" is an object itself). The
+    qualifier is what stands before a colon, or up to six words before the first comma. Native, one row in, one row out;
+    null and empty texts have null slots."""
     t = F.regexp_replace(F.trim(F.coalesce(F.col(text), F.lit(""))), r"\s+", " ")
     base = computed(claims, _t=t)
-    split = rf"(?i)^(.*?)\b({_HINTS})\b(.*)$"
-    plain = computed(base, _plain=F.regexp_replace("_t", _QUOTED, " "))
-    chosen = computed(plain, _s=F.when(F.col("_plain").rlike(split), F.col("_plain")).otherwise(F.col("_t")))
+    named = computed(base, _found=found_relation(F.col("_t")))
+    at = F.regexp_instr(F.lower("_t"), F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), F.col("_found.word"), F.lit(r"(?![\p{L}\p{N}_])")))
+    placed = computed(named, _at=F.coalesce(at, F.lit(0)))
+    whole = F.col("_found.word") == "not dead"
     parts = computed(
-        chosen, _before=F.regexp_extract("_s", split, 1), _relation=F.nullif(F.lower(F.regexp_extract("_s", split, 2)), F.lit("")), _after=F.regexp_extract("_s", split, 3)
-    )
-    lead = F.regexp_replace(F.when(F.col("_relation").isNull(), F.col("_s")).otherwise(F.col("_before")), r"^[^:]*:", "")
+        placed,
+        _before=F.substring("_t", F.lit(1), F.col("_at") - 1), _relation=F.col("_found.relation"),
+        _after=F.substring(F.col("_t"), F.col("_at") + F.when(whole, 0).otherwise(F.length("_found.word")), F.length("_t")),
+    )
+    lead = F.regexp_replace(F.when(F.col("_relation").isNull(), F.col("_t")).otherwise(F.regexp_replace("_before", _QUOTED, " ")), r"^[^:]*:", "")
     runs = F.regexp_extract_all(lead, F.lit(r"\p{Lu}[\p{L}'’-]*(?: \p{Lu}[\p{L}'’.-]*)*"), F.lit(0))
     words = F.filter(F.split(F.regexp_replace(lead, _FRINGE, ""), " "), lambda w: (w != "") & ~F.lower(w).isin("the", "a", "an", "that", "this", "in", "on", "at", "by", "of", "to", "for"))
     named = F.filter(runs, lambda r: ~r.isin("The", "A", "An", "In", "On", "At", "It", "That", "This"))
@@ -46,7 +73,7 @@ def structured_slots(claims: DataFrame, text: str = "text") -> DataFrame:
     by_colon = F.regexp_extract("_t", "^([^:]+):", 1)
     qualifier = F.when(by_colon != "", F.trim(by_colon)).when((head != "") & (F.size(F.split(F.trim(head), " ")) <= 6), F.trim(head))
     out = parts.withColumns({"subject": F.nullif(F.regexp_replace(subject, _FRINGE, ""), F.lit("")), "relation": F.col("_relation"), "object": F.when(F.col("_relation").isNotNull(), F.nullif(rest, F.lit(""))), "qualifier": qualifier})
-    return out.withColumn("full", F.col("subject").isNotNull() & F.col("relation").isNotNull() & F.col("object").isNotNull()).drop("_t", "_plain", "_s", "_before", "_relation", "_after")
+    return out.withColumn("full", F.col("subject").isNotNull() & F.col("relation").isNotNull() & F.col("object").isNotNull()).drop("_t", "_found", "_at", "_before", "_relation", "_after")
 
 
 def _dampened(counts: SparseVector) -> SparseVector:

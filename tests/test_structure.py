@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from claimspan.operators import structured as X
 from claimspan.streaming import claims_stream as S
@@ -39,3 +40,15 @@ def test_stream_equals_batch_and_drops_repeats(spark, tmp_path):
     want = S.labelled_pairs(rows)
     assert got.count() == want.count() > 0 and got.exceptAll(want).count() == 0
     assert S.late_counts(rows, "exported_at", "sample_id").count() > 0
+
+
+@pytest.mark.parametrize(
+    "text, relation",
+    [
+        ("Macaulay Culkin is not dead.", "is"), ("The star isn't gone, he said", "is"), ("'It was fake', Alice denied", "denied"), ('"It was fake"', "was"), ("Bob re-open Monday", "open"), ("The man, not dead, sleeps", "is"),
+        ("He said \"police have said so\" and led", "said"), ("“They have it” says Bob", "says"), ("Nothing here", None), ("", None), (None, None), ("Wasn’t it has-been", "was"),
+    ],
+)
+def test_relations(spark, text, relation):
+    found = spark.createDataFrame([(text,)], "t string").select(X.found_relation(F.col("t")).alias("f")).first().f
+    assert (found.relation if found else None) == relation

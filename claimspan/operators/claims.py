@@ -187,6 +187,12 @@ def threshold_grid(rows: DataFrame, steps: int = 9) -> DataFrame:
     return predicted.groupBy("t_ent", "t_con").agg(*f1_columns("gold", "predicted"))
 
 
+def best_thresholds(grid: DataFrame) -> DataFrame:
+    """The pair of thresholds of the largest macro-F1; of equal ones the smallest contradiction threshold within the smallest
+    entailment threshold."""
+    return grid.orderBy(F.desc("macro_f1"), "t_ent", "t_con").limit(1)
+
+
 def best_pairs(results: DataFrame, sample: str = "sample_id") -> DataFrame:
     """Per sample and label the first pair with the largest score: (sample, label, ord, score)."""
     spread = results.select(sample, "ord", F.explode(F.array(*(F.struct(F.lit(x).alias("label"), F.lit(i).alias("label_ord"), F.col(f"scores.{x}").alias("score")) for i, x in enumerate(V.NLI_LABELS)))).alias("s")).select(sample, "ord", "s.*")

@@ -69,20 +69,28 @@ def evidence_clusters(typed: DataFrame, key: str = "payload_id") -> DataFrame:
 
 
 def exclusive_percentile(rows: DataFrame, group: str, value: str, tenth: int = 9) -> DataFrame:
-    """(group, mean, p): the tenth-th decile by the exclusive method, (n + 1) * tenth / 10 with interpolation, from ranks of
-    distinct values: values are counted map-side first, so a group is as large as its number of different values."""
+    """(group, mean, decile): the tenth-th decile by the exclusive method, (n + 1) * tenth / 10 with interpolation.
+
+    Distinct values are counted map-side. Their counts are summed in at most 2,000 buckets of a group by sign and size, and
+    only the buckets that hold the two places wanted are ranked, so no group is ranked as a whole."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(group).orderBy(value)
-    ranked = counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(group)))
-    whole = F.least(F.greatest(F.floor((F.col("total") + 1) * tenth / 10), F.lit(1)), F.greatest(F.col("total") - 1, F.lit(1)))
-    placed = ranked.withColumn("at", whole).withColumn("part", (F.col("total") + 1) * tenth / 10 - whole)
-    holds = lambda place: (F.col("upto") >= place) & (F.col("upto") - F.col("n") < place)
-    return placed.groupBy(group).agg(
-        (F.sum(F.col(value) * F.col("n")) / F.max("total")).alias("mean"),
-        F.max("part").alias("part"),
-        F.max(F.when(holds(F.col("at")), F.col(value))).alias("low"),
-        F.max(F.when(holds(F.least(F.col("at") + 1, F.col("total"))), F.col(value))).alias("high"),
-    ).select(group, F.round("mean", 4).alias("mean"), F.round(F.col("low") + (F.col("high") - F.col("low")) * F.col("part"), 4).alias("decile"))
+    size = F.floor(F.log2(F.abs(F.col(value).cast("double")) + 1) * 16)
+    bucketed = counts.withColumn("bucket", F.when(F.col(value) < 0, -size).otherwise(size))
+    sums = bucketed.groupBy(group, "bucket").agg(F.sum("n").alias("held"), F.sum(F.col(value) * F.col("n")).alias("sum"))
+    before = Window.partitionBy(group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(group)
+    placed = sums.select(group, "bucket", "held", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"), F.sum("held").over(whole).alias("total"), F.sum("sum").over(whole).alias("sum"))
+    first = F.least(F.greatest(F.floor((F.col("total") + 1) * tenth / 10), F.lit(1)), F.greatest(F.col("total") - 1, F.lit(1)))
+    wanted = placed.withColumn("first", first).withColumn("second", F.least(F.col("first") + 1, F.col("total")))
+    holds = lambda place, start, n: (place > start) & (place <= start + n)
+    kept = wanted.where(holds(F.col("first"), F.col("start"), F.col("held")) | holds(F.col("second"), F.col("start"), F.col("held")))
+    same = F.col(f"b.{group}").eqNullSafe(F.col(f"k.{group}")) & (F.col("b.bucket") == F.col("k.bucket"))
+    met = bucketed.alias("b").join(kept.alias("k"), same).select(f"b.{group}", "b.bucket", f"b.{value}", "n", "start", "total", "sum", "first", "second")
+    upto = F.col("start") + F.sum("n").over(Window.partitionBy(group, "bucket").orderBy(value))
+    ranked = met.withColumn("upto", upto)
+    at = lambda place: F.max(F.when(holds(F.col(place), F.col("upto") - F.col("n"), F.col("n")), F.col(value)))
+    part = (F.max("total") + 1) * tenth / 10 - F.max("first")
+    return ranked.groupBy(group).agg(F.round(F.max("sum") / F.max("total"), 4).alias("mean"), F.round(at("first") + (at("second") - at("first")) * part, 4).alias("decile"))
 
 
 def relevant(query: Column, text: Column) -> Column:

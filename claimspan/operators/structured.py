@@ -114,4 +114,4 @@ def stance_rows(records: DataFrame, text: str, label: str) -> DataFrame:
     counts = rows.groupBy(label).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"), F.count("*").alias("labels"))
     weights = counts.join(F.broadcast(total)).select(label, (F.col("total") / (F.col("labels") * F.col("n"))).alias("weight"))
-    return rows.join(F.broadcast(weights), label).withColumn("tokens", T.token_list(F.col(text))).withColumn("label_text", F.col(label))
+    return rows.join(weights, label).withColumn("tokens", T.token_list(F.col(text))).withColumn("label_text", F.col(label))

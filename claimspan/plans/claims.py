@@ -12,6 +12,7 @@ from ..operators import conflict as K
 from ..operators import metrics as M
 from ..runtime import computed, spread, table
 from . import sql as S
+from .typing_sql import ORACLES as TYPED_ORACLES
 
 
 #: Resamples of the bootstrap.
@@ -75,6 +76,16 @@ def threshold_grid(spark: SparkSession, folder: str) -> DataFrame:
     return C.threshold_grid(_results(spark, folder))
 
 
+def best_thresholds(spark: SparkSession, folder: str) -> DataFrame:
+    return C.best_thresholds(threshold_grid(spark, folder))
+
+
+def error_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Wrong predictions by gold and predicted label; a missing one is none."""
+    wrong = _scored(spark, folder).where(~F.col("gold").eqNullSafe(F.col("predicted")))
+    return wrong.groupBy(F.concat(F.col("gold"), F.lit(" -> "), F.coalesce("predicted", F.lit("none"))).alias("error")).agg(F.count("*").alias("rows"))
+
+
 def best_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return C.best_pairs(_results(spark, folder)).select("sample_id", "label", "ord", "score")
 
@@ -87,14 +98,19 @@ def claim_fill_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def claim_shapes(spark: SparkSession, folder: str) -> DataFrame:
-    """Broken and entity-only claims per sample."""
+    """Broken, entity-only and title-only claims per sample."""
     rows = table(spark, folder, "benchmark_rows").select("sample_id", F.explode("claims").alias("c"))
     text = F.trim(F.coalesce("c.text", F.lit("")))
     tokens = F.size(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0)))
     bare = F.col("c.relation").isNull() & F.col("c.object").isNull()
     marked = text.rlike("-(LRB|RRB|LSB|RSB)-")
     broken = bare & (tokens < 8) & ((text.rlike(r"^[^\p{Lu}\p{Lt}\p{Lo}\p{Lm}\p{N}]")) | (~text.rlike(r"[.!?]$") & (text != "")) | marked | (tokens < 4))
-    return rows.groupBy("sample_id").agg(F.count("*").alias("claims"), F.count_if(broken).alias("broken"), F.count_if(bare & (tokens <= 4)).alias("entity_only"))
+    list_of = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    subject, said = list_of(F.trim(F.coalesce("c.subject", F.lit("")))), list_of(text)
+    titled = (F.size(subject) > 0) & (tokens <= 6) & (T.size_of_common(subject, said) >= F.greatest(F.lit(1), F.least(F.size(subject), F.size(said)) - 1))
+    return rows.groupBy("sample_id").agg(
+        F.count("*").alias("claims"), F.count_if(broken).alias("broken"), F.count_if(bare & (tokens <= 4)).alias("entity_only"), F.count_if(bare & titled).alias("title_only")
+    )
 
 
 def conflict_types(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,7 +215,7 @@ def coverage_by_dataset(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        claims_sentence, block_cascade, block_union, nli_heuristic, retention_sweep, ensemble, temperature, threshold_grid, best_pairs, claim_fill_rates, claim_shapes, conflict_types,
+        claims_sentence, block_cascade, block_union, nli_heuristic, retention_sweep, ensemble, temperature, threshold_grid, best_thresholds, error_types, best_pairs, claim_fill_rates, claim_shapes, conflict_types,
         type_counts, fusion, conflict_summary, source_media, confusion, prf_by_label, macro_f1, evaluate_baselines, bootstrap_ci, paired_bootstrap, mode_significance, score_averages, missing_predictions, block_indexed, coverage_by_dataset,
     )
 }
@@ -257,6 +273,7 @@ ORACLES = {
     "threshold_grid": f"""with {_RESULTS}, g as (select *, {_LABEL} as top from r), x as (select unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) as t),
         q as (select a.t as t_ent, b.t as t_con, gold, case when top = 'entailment' and e >= a.t then top when top = 'contradiction' and c >= b.t then top else 'neutral' end as predicted from g, x a, x b)
         select t_ent::double as t_ent, t_con::double as t_con, {_macro()} as macro_f1 from q group by t_ent, t_con""",
+    "error_types": f"with {_SCORED} select gold || ' -> ' || coalesce(predicted, 'none') as error, count(*) as rows from s where gold is distinct from predicted group by all",
     "best_pairs": f"""with {_RESULTS}, u as (select sample_id, ord, 'entailment' as label, e as score from r union all select sample_id, ord, 'contradiction', c from r union all select sample_id, ord, 'neutral', n from r)
         select sample_id, label, ord, score from (select *, row_number() over (partition by sample_id, label order by score desc, ord) as k from u) where k = 1""",
     "claim_fill_rates": """select c.source_metadata.role as role, count(*) as claims, count(c.subject) as with_subject, count(c.relation) as with_relation, count(c.object) as with_object,
@@ -274,10 +291,11 @@ ORACLES = {
         p as (select temperature::double as temperature, gold, pow(greatest(e, 1e-12), 1 / temperature) as e, pow(greatest(c, 1e-12), 1 / temperature) as c, pow(greatest(n, 1e-12), 1 / temperature) as n from b, t),
         l as (select temperature, round(sum(-ln(greatest(round((case gold when 'entailment' then e when 'contradiction' then c else n end) / (e + c + n), 6), 1e-12))), 6) as loss from p group by temperature)
         select temperature from l order by loss, temperature limit 1""",
-    "claim_shapes": rf"""with c as (select sample_id, trim(coalesce(c.text, '')) as t, c.relation is null and c.object is null as bare from (select sample_id, unnest(claims) as c from benchmark_rows)),
+    "claim_shapes": rf"""with c as (select sample_id, trim(coalesce(c.text, '')) as t, c.relation is null and c.object is null as bare, regexp_extract_all(lower(trim(coalesce(c.subject, ''))), '[a-z0-9]+') as su,
+          regexp_extract_all(lower(trim(coalesce(c.text, ''))), '[a-z0-9]+') as sa from (select sample_id, unnest(claims) as c from benchmark_rows)),
         k as (select *, len(regexp_extract_all(t, '[A-Za-z0-9]+')) as n from c)
         select sample_id, count(*) as claims, count(*) filter (where bare and n < 8 and (regexp_matches(t, '^[^\p{{Lu}}\p{{Lt}}\p{{Lo}}\p{{Lm}}\p{{N}}]') or (not regexp_matches(t, '[.!?]$') and t <> '') or regexp_matches(t, '-(LRB|RRB|LSB|RSB)-') or n < 4)) as broken,
-          count(*) filter (where bare and n <= 4) as entity_only from k group by sample_id""",
+          count(*) filter (where bare and n <= 4) as entity_only, count(*) filter (where bare and len(su) > 0 and n <= 6 and len(list_intersect(list_distinct(su), list_distinct(sa))) >= greatest(1, least(len(su), len(sa)) - 1)) as title_only from k group by sample_id""",
     "fusion": f"""with {S.SIGNALS}, ro as (select payload_id, c.claim_id as claim_id, arg_max_null(lower(trim(c.source_metadata.role)), i) as role from (select payload_id, unnest(claims) as c, unnest(range(len(claims))) as i from p1_payload) where c.claim_id is not null group by all),
         d as (select s.*, coalesce(list_contains({S.strings(V.CLAIM_ROLES)}, ra.role), false) as ac, coalesce(list_contains({S.strings(V.CLAIM_ROLES)}, rb.role), false) as bc, coalesce(list_contains({S.strings(V.EVIDENCE_ROLES)}, ra.role), false) as ae,
           coalesce(list_contains({S.strings(V.EVIDENCE_ROLES)}, rb.role), false) as be from sig s left join ro ra on ra.payload_id = s.payload_id and ra.claim_id = s.a left join ro rb on rb.payload_id = s.payload_id and rb.claim_id = s.b)
@@ -300,3 +318,5 @@ ORACLES = {
     "coverage_by_dataset": """select dataset, count(*) as rows, count(*) filter (where cross_source_pair_count > 0) as with_pair,
         count(*) filter (where len(list_filter(coalesce(cross_source_nli_results, []), lambda r: r.label <> 'neutral')) > 0) as decisive, sum(claim_count)::bigint as claims from benchmark_rows group by rollup (dataset)""",
 }
+ORACLES["best_thresholds"] = f"select * from ({ORACLES['threshold_grid']}) order by macro_f1 desc, t_ent, t_con limit 1"
+ORACLES |= {k: v for k, v in TYPED_ORACLES.items() if k in QUERIES}

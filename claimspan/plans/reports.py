@@ -12,6 +12,8 @@ from ..operators import diagnostics as D
 from ..operators import retrieval as R
 from ..runtime import table
 from . import sql as S
+from .search import hygiene_sql
+from .typing_sql import ORACLES as TYPED_ORACLES
 
 
 def query_buckets(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,6 +122,7 @@ _QUERIES = rf"""b as (select *, {_BUCKET} as bucket from (select *, coalesce(que
   len(regexp_extract_all(coalesce(query, ''), '[A-Za-z0-9]+')) as n, len(list_filter(regexp_extract_all(coalesce(query, ''), '[\p{{L}}\p{{N}}_''-]+'), lambda w: regexp_matches(w, '^[A-Z]'))) as caps,
   len(list_filter(coalesce(cross_source_nli_results, []), lambda r: r.label <> 'neutral')) > 0 as decisive from benchmark_rows))"""
 _KEYS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}') and not list_contains(" + S.strings(V.STOPWORDS_RELEVANCE) + ", w))"
+_LISTED = "len(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+'))"
 ORACLES = {
     "query_buckets": f"with {_QUERIES} select sample_id, bucket from b",
     "query_taxonomy": f"""with {_QUERIES} select t.bucket as bucket, count(b.sample_id) as rows, count(*) filter (where b.decisive) as decisive
@@ -127,6 +130,18 @@ ORACLES = {
     "evidence_clusters": f"""with {S.SIGNALS}, s as (select payload_id, pair_no, 0 as side, a as claim_id, signal from sig union all select payload_id, pair_no, 1, b, signal from sig),
         f as (select payload_id, claim_id, arg_min(signal, (pair_no, side)) as signal from s where claim_id is not null group by all)
         select payload_id, case signal when 'agreement' then 'support' when 'conflict' then 'oppose' else 'neutral' end as cluster, count(*) as claims from f group by all""",
+    "noisy_evidence": f"""with {hygiene_sql("chunks as (select metadata['dataset'] as dataset, c.text as text, 0.0 as score, 1 as rank from (select metadata, unnest(retrieved_chunks) as c from retrieval_json))")}
+        select dataset, count(*) as chunks, sum(round(penalty * 100)::bigint)::bigint as penalty_points, count(*) filter (where flags <> '') as flagged from k group by dataset""",
+    "failure_labels": f"""with {_QUERIES}, cl as (select sample_id, unnest(claims) as c, unnest(range(len(claims))) as i from benchmark_rows),
+        {hygiene_sql("""chunks as (select sample_id, string_agg(coalesce(c.text, ''), ' ' order by i) as text, 0.0 as score, 1 as rank from cl where c.source_metadata.role = 'retrieved_evidence'
+          group by sample_id, c.source_doc_id, coalesce(c.source_chunk_id, 'claim ' || i))""")},
+        noise as (select sample_id, round(avg(penalty), 4) >= 0.12 or bool_or(f1 or f4) as noisy from k group by sample_id),
+        asked as (select sample_id, bool_or(tc < 6) as short, bool_or((c.relation is null and c.object is null) or (n >= 7 and tc <= greatest(4, floor(n * 0.6)))) as collapsed
+          from (select cl.*, {_LISTED.format("c.text")} as tc, {_LISTED.format("query")} as n from cl join benchmark_rows using (sample_id) where c.source_metadata.role = 'query') group by sample_id),
+        j as (select b.bucket, b.cross_source_pair_count as pairs, {_LISTED.format("b.query")} as n, coalesce(short, false) as short, coalesce(collapsed, false) as collapsed, coalesce(noisy, false) as noisy
+          from b left join noise using (sample_id) left join asked using (sample_id) where not decisive)
+        select case when pairs = 0 then 'NO_CROSS_SOURCE_SIGNAL' when short and bucket in ('very_short_factoid', 'ambiguous_name_query', 'entity_seeking') then 'Q_SHORT' when collapsed then 'Q_COLLAPSED_IN_P1' when noisy then 'EVIDENCE_STILL_NOISY'
+          when bucket in ('ambiguous_name_query', 'entity_seeking') or n <= 7 then 'Q_UNDERSPECIFIED' else 'EVIDENCE_OK_BUT_NOT_COMPARABLE' end as failure, bucket, count(*) as rows from j group by all""",
     "label_crosstab": """select dataset, count(*) filter (where r.label = 'entailment') as entailment, count(*) filter (where r.label = 'contradiction') as contradiction,
         count(*) filter (where r.label = 'neutral') as neutral from (select dataset, unnest(cross_source_nli_results) as r from benchmark_rows) group by dataset""",
     "relevance_gate": f"""select row_id, count(*) as chunks, count(*) filter (where len(kq) = 0 or list_has_any(kq, kt)) as relevant from (
@@ -139,3 +154,4 @@ ORACLES = {
         a as (select *, least(greatest(floor((n + 1) * 9 / 10.0), 1), greatest(n - 1, 1)) as w, (n + 1) * 9 / 10.0 as x from r)
         select lang, round(avg(v), 4) as mean, round((max(case when k = w then v end) + (max(case when k = least(w + 1, n) then v end) - max(case when k = w then v end)) * max(x - w))::double, 4) as decile from a group by lang""",
 }
+ORACLES |= {k: v for k, v in TYPED_ORACLES.items() if k in QUERIES}

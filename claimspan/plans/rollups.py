@@ -15,6 +15,7 @@ from ..runtime import cut, spread, table
 from ..sources import payloads as L
 from ..sources import readers as D
 from . import sql as S
+from .typing_sql import ORACLES as TYPED_ORACLES
 
 
 def _results(spark: SparkSession, folder: str) -> DataFrame:
@@ -260,3 +261,4 @@ ORACLES = {
         select record_id, plain, a <> b as negated from s""",
     "embedded_objects": "select record_id, nullif(length(regexp_extract(body, '(?s)\\{.*\\}')), 0)::int as chars from raw_records",
 }
+ORACLES |= {k: v for k, v in TYPED_ORACLES.items() if k in QUERIES}

@@ -143,11 +143,11 @@ raw as (select token, ln((n - df + 0.5) / (df + 0.5)) as r from (select token, c
 idf as (select token, case when r < 0 then 0.25 * (select avg(r) from raw) else r end as idf from raw),
 scored as (select query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 4) as score from idx join qt using (token) join idf using (token), stats group by all),
 hits as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from scored)"""
-_CHUNKS = """chunks as (select row_id as query_id, query, i::int as chunk_no, c.chunk_id as chunk_id, c.text as text, coalesce(c.rank, i + 1)::int as rank, coalesce(c.retrieval_score, 0.0) as score
+CHUNKS = """chunks as (select row_id as query_id, query, i::int as chunk_no, c.chunk_id as chunk_id, c.text as text, coalesce(c.rank, i + 1)::int as rank, coalesce(c.retrieval_score, 0.0) as score
   from (select row_id, query, unnest(retrieved_chunks) as c, unnest(range(len(retrieved_chunks))) as i from retrieval_json))"""
 
 
-def _hygiene_sql(source: str) -> str:
+def hygiene_sql(source: str) -> str:
     count = lambda m: f"(length(t) - length(replace(t, '{m}', '')))"
     markers = " + ".join(f"{count(m)} / {len(m)}.0" for m in V.MARKER_TOKENS)
     starts = " or ".join(f"starts_with(lower(t), '{p}')" for p in V.ATTRIBUTION_PREFIXES)
@@ -227,12 +227,12 @@ ORACLES = {
     "filtered_topk": f"""with {_BM25} select query_id, doc_id, score, rank from (select h.query_id, h.doc_id, h.score, row_number() over (partition by h.query_id order by h.score desc, h.doc_id)::int as rank
         from hits h join documents d using (doc_id) where d.lang = 'en') where rank <= {TOP}""",
     "retrieve_pipeline": f"with {_reranked_sql(max(3 * TOP, CANDIDATES))}, {_diverse_sql('re', TOP)} select query_id, doc_id, score as rerank_score, rank from diverse",
-    "handoff_chunks": f"""with {_hygiene_sql(f"{_reranked_sql(max(3 * (TOP + EXTRA), CANDIDATES))}, chunks as (select * from re where rank <= {TOP + EXTRA})")},
+    "handoff_chunks": f"""with {hygiene_sql(f"{_reranked_sql(max(3 * (TOP + EXTRA), CANDIDATES))}, chunks as (select * from re where rank <= {TOP + EXTRA})")},
         cleaned as (select * exclude (rank), row_number() over (partition by query_id order by skipped, adjusted_score desc, rank) as rank from k), {_diverse_sql("cleaned", TOP)}
         select query_id::varchar as sample_id, 'documents' as dataset, rank, doc_id::varchar as chunk_id, score as retrieval_score, source as source_medium, doc_id::varchar as source_doc_id, title from diverse""",
-    "hygiene_scores": f"with {_hygiene_sql(_CHUNKS)} select query_id, chunk_no, flags, penalty, skipped from k",
-    "hygiene_rerank": f"with {_hygiene_sql(_CHUNKS)} select query_id, chunk_no, adjusted_score, row_number() over (partition by query_id order by skipped, adjusted_score desc, rank)::int as hygiene_rank from k",
-    "retrieval_recall": f"""with {_CHUNKS}, c as (select *, split_part(chunk_id, '::', 1) as doc from chunks),
+    "hygiene_scores": f"with {hygiene_sql(CHUNKS)} select query_id, chunk_no, flags, penalty, skipped from k",
+    "hygiene_rerank": f"with {hygiene_sql(CHUNKS)} select query_id, chunk_no, adjusted_score, row_number() over (partition by query_id order by skipped, adjusted_score desc, rank)::int as hygiene_rank from k",
+    "retrieval_recall": f"""with {CHUNKS}, c as (select *, split_part(chunk_id, '::', 1) as doc from chunks),
         g as (select query_id, arg_max(doc, (score, -chunk_no)) as gold from c group by query_id),
         t as (select query_id, list(distinct doc) as docs, avg(score) as score from c where rank <= 5 group by query_id),
         p as (select coalesce(list_contains(docs, gold), false)::int::double as hit, coalesce(len(docs), 0)::double as n, round(score, 9) as score from g left join t using (query_id))

@@ -23,6 +23,12 @@ def claim_relations(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "averitec").select("record_id", found["relation"].alias("relation"))
 
 
+def top_relations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 12 most frequent relations, ties by name."""
+    counts = claim_relations(spark, folder).where("relation is not null").groupBy("relation").agg(F.count("*").alias("claims"))
+    return counts.orderBy(F.desc("claims"), "relation").limit(12)
+
+
 def structured_fill_rates(spark: SparkSession, folder: str) -> DataFrame:
     """Claims per relation, with how many of them have all slots; every relation, most frequent first by count."""
     return claims_structured(spark, folder).groupBy("relation").agg(F.count("*").alias("claims"), F.count_if("full").alias("full"))
@@ -41,7 +47,7 @@ def claim_pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return labelled_pairs(table(spark, folder, "retrieval_json"))
 
 
-QUERIES = {f.__name__: f for f in (claims_structured, claim_relations, structured_fill_rates, stance_baseline, claim_pipeline)}
+QUERIES = {f.__name__: f for f in (claims_structured, claim_relations, top_relations, structured_fill_rates, stance_baseline, claim_pipeline)}
 _Q = r"""(?:\'[^\']{2,}\'|"[^"]{2,}"|“[^”]{2,}”|‘[^’]{2,}’)""".replace("\\'", "''")
 # Every word with its place and whether a quotation holds it; a quotation starts and ends next to no letter.
 ORACLES: dict[str, str] = {
@@ -55,3 +61,4 @@ ORACLES: dict[str, str] = {
         c as (select record_id, relation, row_number() over (partition by record_id order by quoted, i, j) as k from f where nth = 1)
         select a.record_id as record_id, relation from averitec a left join c on c.record_id = a.record_id and k = 1""",
 }
+ORACLES["top_relations"] = f"select relation, count(*) as claims from ({ORACLES['claim_relations']}) where relation is not null group by relation order by claims desc, relation limit 12"

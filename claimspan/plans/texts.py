@@ -31,6 +31,12 @@ def token_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     return R.token_frequencies(spread(table(spark, folder, "documents").select("text")).select(T.token_list(F.col("text")).alias("tokens")))
 
 
+def top_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The 80 most frequent tokens of the justifications, ties by token."""
+    tokens = table(spark, folder, "averitec").select(F.explode(T.token_list(F.col("justification"))).alias("token"))
+    return tokens.groupBy("token").agg(F.count("*").alias("times")).orderBy(F.desc("times"), "token").limit(80)
+
+
 def sentences_t2(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.posexplode(T.sentences_plain(F.col("text"))).alias("sent_no", "sentence"))
 
@@ -79,7 +85,7 @@ def source_frequencies(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (tok_sets, token_frequencies, sentences_t2, jaccard_pairs, question_filter, polarity_certainty, entities_regex, keyword_labels, answer_sentences, time_extract, markup_decode, source_frequencies)
+    for f in (tok_sets, token_frequencies, top_tokens, sentences_t2, jaccard_pairs, question_filter, polarity_certainty, entities_regex, keyword_labels, answer_sentences, time_extract, markup_decode, source_frequencies)
 }
 
 ANSWERS = """answers as (
@@ -115,6 +121,7 @@ ORACLES = {
         len(regexp_extract_all(lower(coalesce(text, '')), '[a-z'']+'))::int as apostrophe from documents""",
     "token_frequencies": f"""select token, count(*) as df, sum(tf)::bigint as total from (
         select token, doc_id, count(*) as tf from (select doc_id, unnest({S.token_list("text")}) as token from documents) group by all) group by all""",
+    "top_tokens": f"select token, count(*) as times from (select unnest({S.token_list('justification')}) as token from averitec) group by token order by times desc, token limit 80",
     "sentences_t2": f"""select doc_id, sent_no, sentence from (
         select doc_id, unnest({S.sentences_plain("text")}) as sentence, unnest(range(len({S.sentences_plain("text")})))::int as sent_no from documents)""",
     "jaccard_pairs": f"select record_id, {S.jaccard(_A, _B)} as jaccard, {S.coverage(_A, _B)} as coverage from averitec",
@@ -125,6 +132,7 @@ ORACLES = {
     "markup_decode": rf"""with c as (select row_id, i::int as "at", c.text as text from (select row_id, unnest(retrieved_chunks) as c, unnest(range(len(retrieved_chunks))) as i from retrieval_json)),
         d as (select row_id, "at", {_decoded_sql("text")} as t from c)
         select row_id, "at", trim(regexp_replace(regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')) as text from d""",
+    "time_extract": rf"""select record_id, nullif(regexp_extract(claim, '(?i)(?:^|[^\p{{L}}\p{{N}}_])({V.TIME_PATTERN.removeprefix(chr(92) + "b").removesuffix(chr(92) + "b")})(?:$|[^\p{{L}}\p{{N}}_])', 1), '') as time from averitec""",
     "keyword_labels": f"""select record_id, case when list_has_any(w, {S.strings(V.KEYWORDS_REFUTE)}) then 'contradiction'
         when list_has_any(w, {S.strings(V.KEYWORDS_SUPPORT)}) then 'entailment' else 'neutral' end as label
         from (select record_id, regexp_extract_all(lower(claim), '[a-z'']+') as w from averitec)""",

@@ -74,7 +74,7 @@ points as (select *, 0.65 * cov + 0.25 * jac + (case when list_has_any({_NUMBERS
     + (case when list_has_any({_HEAD}, {S.strings(V.HEADLINE_NEGATION)}) and list_has_any(st, {S.strings(V.HEADLINE_NEGATION)}) then 0.08 else 0.0 end)
     + (case when regexp_matches(query, '["''“”‘’]') and regexp_matches(s, '["''“”‘’]') then 0.05 else 0.0 end) + (case when contains(query, ':') and shared >= 2 then 0.06 else 0.0 end)
     + greatest(0.0::double, 0.06::double - 0.02::double * pos) - (case when shared = 0 then 0.08 when shared = 1 then 0.04 else 0.0 end) as raw from best),
-ranked as (select row_id, chunk_no, pos, s, st, round(raw::decimal(38, 18), 4)::double as score, row_number() over (partition by row_id, chunk_no order by round((-raw)::decimal(38, 18), 4), pos) - 1 as rank from points)"""
+ranked as (select row_id, chunk_no, pos, s, st, round(raw::varchar::decimal(38, 18), 4)::double as score, row_number() over (partition by row_id, chunk_no order by round((-raw)::varchar::decimal(38, 18), 4), pos) - 1 as rank from points)"""
 _RELEVANT = f"""{_CHUNKS}, u as (select row_id, chunk_no, query, unnest({S.sentences_plain("text")}) as s, unnest(range(len({S.sentences_plain("text")}))) as pos from p),
 r as (select *, count(*) over (partition by row_id, chunk_no) as n, {_T} as tk, 0.6 * {S.coverage(_Q, _T)} + 0.4 * {S.jaccard(_Q, _T)} as rel from u)"""
 ORACLES |= {

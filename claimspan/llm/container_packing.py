@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import cut
 
-#: Lengths are gathered into at most so many classes, each as long as its longest member, in the program.
+#: Lengths are gathered into at most so many classes, each as long as its mean member, in the program.
 CLASSES = 48
 #: Accuracies that the program is solved to, one after the other, rounds for each, and the gap to the bound that is good
 #: enough to stop.
@@ -89,8 +89,8 @@ def solve_program(lengths: np.ndarray, need: np.ndarray, capacity: int) -> Progr
     as valuable as the best of all, and raises their amounts together, by as much as lets no class gain more than a
     small share of its need. The amounts, scaled so that the least covered class is covered, are a solution."""
     group = size_classes(lengths, need)
-    size = np.array([lengths[group == g].max() for g in range(group.max() + 1)])
     wanted = np.bincount(group, need)
+    size = np.maximum((np.bincount(group, need * lengths) / wanted).astype(np.int64), 1)
     bound, value, found, dual = float(lengths @ need) / capacity, np.inf, {}, (0.0, size / capacity)
     start = np.log(size / capacity)
     for accuracy in ACCURACIES:
@@ -181,22 +181,26 @@ def _largest_first(lengths_down: np.ndarray, left: np.ndarray, capacity: int) ->
 
 
 def _rounded(program: Program, lengths_down: np.ndarray, group: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Fillings of whole containers after the program, largest amounts first: each takes the longest items left of its
-    classes, then whatever else fits. ``left`` (items left) goes down."""
+    """Fillings of whole containers after the program, largest amounts first. For each place of a filling the longest item
+    left of its class is taken that still leaves room for the shortest ones of the places after it, then whatever else
+    fits. ``left`` (items left) goes down."""
+    members = [np.flatnonzero(group == c) for c in range(len(program.classes))]  # longest first
     fillings = []
     for row, amount in sorted(zip(program.fillings, program.amounts, strict=True), key=lambda x: (-x[1], x[0].tolist())):
         open_ = int(amount + 1e-9)
+        places = [c for c in np.argsort(-program.classes) for _ in range(int(row[c]))]
         while open_ > 0:
-            counts = np.zeros(len(left), np.int64)
-            for c in np.flatnonzero(row):
-                want = int(row[c])
-                for at in np.flatnonzero((group == c) & (left > 0)):
-                    n = min(want, int(left[at]))
-                    counts[at] += n
-                    want -= n
-                    if not want:
-                        break
-            top_up(counts, lengths_down, left, capacity - int(counts @ lengths_down))
+            counts, room = np.zeros(len(left), np.int64), capacity
+            held = [m[left[m] > 0] for m in members]
+            least = [int(lengths_down[h[-1]]) if len(h) else 0 for h in held]
+            after = sum(least[c] for c in places)
+            for c in places:
+                after -= least[c]
+                fits = held[c][(lengths_down[held[c]] <= room - after) & (counts[held[c]] < left[held[c]])]
+                if len(fits):
+                    counts[fits[0]] += 1
+                    room -= int(lengths_down[fits[0]])
+            top_up(counts, lengths_down, left, room)
             used = counts > 0
             if not used.any():
                 break

@@ -107,30 +107,27 @@ def year_month(*sources: Column) -> Column:
     """First yyyy-mm found in the sources: ISO-like, Chinese or month name with year, in this order within a source."""
 
     def of(s: Column) -> Column:
-        iso = r"\b((?:19|20)\d{2})[-/](0?[1-9]|1[0-2])(?:[-/](?:0?[1-9]|[12]\d|3[01]))?\b"
-        chinese = r"((?:19|20)\d{2})年\s*(0?[1-9]|1[0-2])月"
-        named = r"(?i)\b(jan|january|feb|february|mar|march|apr|april|may|jun|june|jul|july|aug|august|sep|sept|september|oct|october|nov|november|dec|december)\.?\s+((?:19|20)\d{2})\b"
         pair = lambda p, y, m: F.when(s.rlike(p), F.concat(F.regexp_extract(s, p, y), F.lit("-"), F.lpad(m(F.regexp_extract(s, p, 3 - y)), 2, "0")))
         number = F.create_map(*(F.lit(x) for i, name in enumerate(V.MONTHS) for x in (name, str(i + 1))))
-        return F.coalesce(pair(iso, 1, lambda m: m), pair(chinese, 1, lambda m: m), pair(named, 2, lambda m: F.try_element_at(number, F.substring(F.lower(m), 1, 3))))
+        return F.coalesce(pair(V.ISO_MONTH, 1, lambda m: m), pair(V.CHINESE_MONTH, 1, lambda m: m), pair(V.NAMED_MONTH, 2, lambda m: F.try_element_at(number, F.substring(F.lower(m), 1, 3))))
 
     return F.coalesce(*(of(s) for s in sources))
 
 
 def year(*sources: Column) -> Column:
-    return F.coalesce(*(F.nullif(F.regexp_extract(s, r"\b(?:19|20)\d{2}\b", 0), F.lit("")) for s in sources))
+    return F.coalesce(*(F.nullif(F.regexp_extract(s, V.YEAR, 0), F.lit("")) for s in sources))
 
 
 def largest_number(text: Column) -> Column:
     """The largest number in the text that is no year; null without one."""
-    found = F.regexp_extract_all(text, F.lit(r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(V.NUMBER), F.lit(0))
     values = F.transform(found, lambda n: F.regexp_replace(n, ",", "").cast("double"))
     return F.array_max(F.filter(values, lambda v: ~((v == F.floor(v)) & v.between(1900, 2099))))
 
 
 def person(text: Column) -> Column:
     """Words of the first full name, lower case."""
-    name = F.regexp_extract(text, r"\b([A-Z][a-z]+(?:\s+[A-Z]\.)?(?:\s+[A-Z][a-z]+)+)\b", 1)
+    name = F.regexp_extract(text, V.FULL_NAME, 1)
     return F.filter(F.split(F.lower(F.regexp_replace(name, r"[^A-Za-z\s]", " ")), r"\s+"), lambda w: w != "")
 
 

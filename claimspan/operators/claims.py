@@ -72,7 +72,7 @@ def candidate_pairs(
     side = lambda x: base.select(sample, *(F.col(c).alias(f"{c}_{x}") for c in columns))
     if indexed:
         least = least_lexical if query_lexical is None else min(least_lexical, query_lexical)
-        pairs = shared_tokens(base, sample, least).join(side("a"), [sample, "ord_a"]).join(side("b"), [sample, "ord_b"])
+        pairs = shared_tokens(base, sample, least).join(side("a").hint("merge"), [sample, "ord_a"]).join(side("b").hint("merge"), [sample, "ord_b"])
     else:
         pairs = side("a").join(side("b"), sample).where("ord_a < ord_b")
     scored = pairs.withColumn("lexical", T.jaccard(F.col("tokens_a"), F.col("tokens_b"))).withColumn("entity_overlap", T.size_of_common(F.col("entities_a"), F.col("entities_b")))
@@ -94,17 +94,20 @@ def shared_tokens(claims: DataFrame, sample: str, least: float) -> DataFrame:
 
     Two sets of n and m tokens with similarity t share ceil(t * n) of the first, so with any common order of tokens
     their first n - ceil(t * n) + 1 and m - ceil(t * m) + 1 have one in common. Rarest first, so frequent tokens seldom
-    stand in front; the lengths must allow the similarity too. ``claims``: (sample, ord, tokens), ord unique."""
+    stand in front; the lengths must allow the similarity too. ``claims``: (sample, ord, tokens), ord unique.
+
+    The joins are merge joins by hint: an exploded list counts as one row in the planner's estimate, so it would broadcast
+    tables of the whole corpus' words through the driver."""
     if not 0 < least <= 1:
         raise ValueError("the index needs a lexical threshold above 0")
     words = claims.select(sample, "ord", F.explode("tokens").alias("token"))
     frequency = words.groupBy(sample, "token").agg(F.count("*").alias("df"))
-    ordered = words.join(frequency, [sample, "token"]).groupBy(sample, "ord").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("items"))
+    ordered = words.join(frequency.hint("merge"), [sample, "token"]).groupBy(sample, "ord").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("items"))
     n = F.size("items")
     front = F.slice("items", F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)
     listed = ordered.select(sample, "ord", n.alias("n"), F.explode(front).alias("item")).select(sample, "ord", "n", F.col("item.token").alias("token"))
     side = lambda x: listed.select(sample, "token", F.col("ord").alias(f"ord_{x}"), F.col("n").alias(f"n_{x}"))
-    met = side("a").join(side("b"), [sample, "token"]).where((F.col("ord_a") < F.col("ord_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9))
+    met = side("a").join(side("b").hint("merge"), [sample, "token"]).where((F.col("ord_a") < F.col("ord_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least - 1e-9))
     return met.select(sample, "ord_a", "ord_b").distinct()
 
 

@@ -43,6 +43,16 @@ def test_index_finds_the_same_pairs(spark):
         C.candidate_pairs(df, least_lexical=0.0, indexed=True)
 
 
+def test_index_broadcasts_nothing(spark, tmp_path):
+    """Lists inside a small file hold more words than the planner thinks, so no side may be broadcast by its estimate."""
+    rows = [(str(i % 5), i, str(i), f"harbour plan {i % 7} of ship {i % 3}", "body", ["A"]) for i in range(40)]
+    spark.createDataFrame(rows, CLAIM).write.parquet(str(tmp_path / "claims"))
+    pairs = C.candidate_pairs(spark.read.parquet(str(tmp_path / "claims")), indexed=True)
+    plan = lambda: pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan()
+    assert pairs.collect() and "isFinalPlan=true" in plan() and "Broadcast" not in plan()
+
+
 def test_blocking_embedding_stage(spark):
     texts = ["Alice approved the harbour plan", "Alice did not approve the harbour plan", "Bob sold the harbour plan", "harbour plan", None, "unrelated words"]
     entities = [["Alice"], ["Alice"], ["Bob"], [], None, ["Alice"]]
